@@ -87,25 +87,28 @@ class Encoder:
         tok = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
         rows = pa.table({"w": pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(tok)) - first), "tok": pa.array(tok)})
         self.db.register("start", rows)
-        out = self.db.execute(CONTRACT).to_arrow_table()
+        out = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
         for w, ids in zip(out["w"].to_pylist(), out["ids"].to_pylist(), strict=True):
             self.known[words[w]] = ids
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def part(self, texts: list[str | None]) -> list[list[str]]:
+        """Words of each text; all of them are known afterwards."""
         parted = [self.find(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
         if new := list({w for p in parted for w in p if w not in known}):
             self.learn(new)
-        out = []
-        for p in parted:
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            out.append(ids)
-        return out
+        return parted
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        known = self.known
+        return [[i for w in p for i in known[w]] for p in self.part(texts)]
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        known = self.known
+        return [sum([len(known[w]) for w in p]) for p in self.part(texts)]
 
 
 @lru_cache(2)
@@ -123,3 +126,12 @@ def token_ids(texts: DataFrame, key: str, text: str, vocabulary: str | None = No
     rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
     out = map_rows(rows, lambda x: {"key": x["key"], "ids": encoder(path).encode(x["text"])}, f"key {kind}, ids array<int>", ROWS)
     return out.select(F.col("key").alias(key), F.col("ids").alias(ids))
+
+
+def token_counts(texts: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
+    """One row (key, n_tokens) for each row of the input; 0 for null and empty texts."""
+    path = vocabulary or f"{FOLDER}/byte_bpe_50k.json"
+    kind = dict(texts.dtypes)[key]
+    rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    out = map_rows(rows, lambda x: {"key": x["key"], "n_tokens": encoder(path).counts(x["text"])}, f"key {kind}, n_tokens bigint", ROWS)
+    return out.withColumnRenamed("key", key)

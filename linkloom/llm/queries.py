@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import main_content, near_copies
+from linkloom.llm import encode, main_content, near_copies, packing, term_frequency
 from linkloom.llm.arrow import spread, table
 
 
+def p1_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term with its counts and its mark."""
+    return term_frequency.marked_terms(table(spark, d, "term_counts"), "term", "url", "n")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_terms(spark, d).where("mark is not null").select("term", "mark")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.main_lines(table(spark, d, "pages"))
 
@@ -55,9 +64,39 @@ def p5_measures(spark: SparkSession, d: str) -> DataFrame:
     return m.join(urls, "page_id").join(links, "u", "left").join(stored, "u", "left").drop("u")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def capacities(spark: SparkSession, d: str) -> dict[int, int]:
+    """The kinds of containers: three rows."""
+    rows = table(spark, d, "containers").where("container_id is not null and capacity > 0").limit(packing.CONTAINERS + 1).collect()
+    return {r["container_id"]: r["capacity"] for r in rows}
+
+
+def p7_packs(spark: SparkSession, d: str) -> DataFrame:
+    counts = encode.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.fill_containers(counts, "doc_id", "n_tokens", capacities(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packs(spark, d), capacities(spark, d))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p3_documents, p5_found, p5_measures)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p5_found, p5_measures, p6_ids, p7_packs, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    # Fixed value: the characters of category Cf.
+    cf = "\\x{AD}\\x{600}-\\x{605}\\x{61C}\\x{6DD}\\x{70F}\\x{890}\\x{891}\\x{8E2}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}\\x{FFF9}-\\x{FFFB}"
+    cut = "regexp_replace(url, '[#?](.|\n)*$', '')"
+    url = f"""CASE WHEN regexp_matches({cut}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+        regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({cut}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*')), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1'), '$', '')
+        || coalesce(nullif(regexp_replace({cut}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), ''), '/') ELSE {cut} END"""
+    terms = f"""
+        WITH t AS (SELECT regexp_replace(regexp_replace(lower(nfc_normalize(regexp_replace(term, '[{cf}]', '', 'g'))), '^[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ''), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '') AS term, n, {url} AS u FROM term_counts WHERE url IS NOT NULL),
+        a AS (SELECT count(DISTINCT u) AS every FROM t),
+        c AS (SELECT term, sum(coalesce(n, 0))::BIGINT AS occurrences, count(DISTINCT u) AS records FROM t WHERE term <> '' GROUP BY term)
+        SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.3 * every THEN 'common' END AS mark FROM c, a"""
+    return {"p1_terms": terms, "p1_found": f"SELECT term, mark FROM ({terms}) WHERE mark IS NOT NULL"}
