@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import encode, main_content, near_copies, packing, term_frequency
+from linkloom.llm import encode, encoding_repair, main_content, near_copies, packing, site_lines, term_frequency
 from linkloom.llm.arrow import spread, table
 
 
@@ -48,6 +48,20 @@ def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(pairs, members).select(F.col("key").alias("doc_id"), F.col("group").alias("class_id"), "links")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.frequent_lines(site_lines.line_sequences(table(spark, d, "pages"))).select("host", "line")
+
+
+def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of up to three lines that come back within a site."""
+    return site_lines.frequent_sequences(site_lines.line_sequences(table(spark, d, "pages")), longest=3)
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's text without the lines that come back."""
+    return site_lines.without_repeats(table(spark, d, "pages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.stuffed_pages(table(spark, d, "pages"))
 
@@ -83,8 +97,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packs(spark, d), capacities(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.garbled_keys(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled texts with what they said, as far as it can be known."""
+    return encoding_repair.repaired(table(spark, d, "documents"), "doc_id", "text").where("garbled").drop("garbled")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p5_found, p5_measures, p6_ids, p7_packs, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p4_found, p4_sequences, p4_texts, p5_found, p5_measures, p6_ids, p7_packs, p7_report, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
