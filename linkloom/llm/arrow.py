@@ -19,14 +19,14 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def map_rows(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ROWS) -> DataFrame:
-    """``run`` gets up to ``rows`` rows as lists by column, and gives lists by column of ``schema``."""
+    """``run`` gets up to ``rows`` rows as lists by column, and gives lists or Arrow arrays by column of ``schema``."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = run(batch.slice(at, rows).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(go, schema)
 

@@ -22,12 +22,14 @@ from linkloom.llm.pages import Line, line_key
 
 WORDS, PATHS, FORMS = 4096, 512, 14
 WEIGHTS = Path(__file__).with_name("blocks.npz")
-WORD = re.compile(r"[^\W\d_]+|0|[|›»©:–—#!?.,]")
+WORD = re.compile(r"[^\W\d_]+|0|[|›»©:–—#!?.,]|\n")
+ENDS = frozenset(".!?…\"”»")
 
 
 @lru_cache(1 << 17)
 def word_id(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) % WORDS
+    """-1 for a line break."""
+    return -1 if word == "\n" else crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
 
 @lru_cache(1 << 14)
@@ -45,42 +47,45 @@ def path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted(crc32(m.encode()) % PATHS for m in marks))
 
 
-def form(line: Line, at: int, of: int, before: Line | None) -> list[float]:
-    """Measures of a line that no word tells."""
-    s = line.text
-    n = len(s)
-    words = s.count(" ") + 1
-    digits = sum(map(str.isdigit, s)) if n < 60 else 0
-    return [
-        min(n, 600) / 200, min(words, 80) / 20, digits / n, line.linked, float(s[-1] in ".!?…\"”»"), float(s[0].islower()), float(s.isupper()),
-        at / of, min(at, 30) / 30, min(of - at, 30) / 30, s.count(",") / words, float(before is not None and before.path == line.path), min(s.count("|") + s.count("›"), 5) / 2, 1.0,
-    ]
-
-
 class Features:
-    """Lines of some pages as flat arrays: ``words`` and ``paths`` with the begin of each line, ``forms`` by line, ``pages`` by begin."""
+    """Lines of some pages as flat arrays: ``words`` and ``paths`` with the begin of each line, and ``forms``, measures that no word tells."""
 
     def __init__(self, pages: Sequence[Sequence[Line]]):
         words: list[int] = []
         wat: list[int] = []
         paths: list[int] = []
         pat: list[int] = []
-        forms: list[list[float]] = []
+        raw: list[tuple] = []
         self.sizes = np.array([len(p) for p in pages], dtype=np.int64)
-        find = WORD.findall
+        find, hashed = WORD.findall, word_id
         for page in pages:
-            before, of = None, len(page)
-            for at, line in enumerate(page):
-                wat.append(len(words))
-                key = line_key(line.text)
-                words.append(word_id("=" + key))  # never empty; a whole line can be known as such
-                words.extend(map(word_id, find(key)))
+            if not page:
+                continue
+            # a line break begins each line, and gives its place to the hash of the whole line, as a line can be known as such
+            text = line_key("\n".join([line.text for line in page]))
+            ids = [hashed(w) for w in find("\n" + text)]
+            begins = [k for k, i in enumerate(ids) if i < 0]
+            for k, key in zip(begins, text.split("\n"), strict=True):
+                ids[k] = crc32(b"=" + key.encode("utf-8", "surrogatepass")) % WORDS
+            done = len(words)
+            wat += [done + k for k in begins]
+            words += ids
+            path = None
+            for line in page:
+                s, own = line.text, line.path
                 pat.append(len(paths))
-                paths.extend(path_ids(line.path))
-                forms.append(form(line, at, of, before))
-                before = line
+                paths += path_ids(own)
+                n = len(s)
+                raw.append((n, s.count(" ") + 1, sum(map(str.isdigit, s)) if n < 60 else 0, line.linked, s[-1] in ENDS, s[0].islower(), s.isupper(), s.count(","), path == own, s.count("|") + s.count("›")))
+                path = own
         self.words, self.wat, self.paths, self.pat = (np.array(x, dtype=np.int64) for x in (words, wat, paths, pat))
-        self.forms = np.array(forms, dtype=np.float32).reshape(-1, FORMS)
+        n, many, digits, linked, ends, low, up, commas, same, bars = np.array(raw, dtype=np.float64).reshape(-1, 10).T
+        of = np.repeat(self.sizes, self.sizes).astype(np.float64)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.forms = np.stack([
+            np.minimum(n, 600) / 200, np.minimum(many, 80) / 20, digits / n, linked, ends, low, up, at / of, np.minimum(at, 30) / 30,
+            np.minimum(of - at, 30) / 30, commas / many, same, np.minimum(bars, 5) / 2, np.ones(len(n)),
+        ], axis=1).astype(np.float32)
 
 
 def _means(table: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -74,7 +74,13 @@ class Encoder:
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
+        self.known: dict[str, int] = {}  # number of a word; its ids are flat[first : first + size]
+        self.first, self.size, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, by the recursive query."""
@@ -89,26 +95,49 @@ class Encoder:
         self.db.register("start", rows)
         out = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
-        for w, ids in zip(out["w"].to_pylist(), out["ids"].to_pylist(), strict=True):
-            self.known[words[w]] = ids
+        lists = out["ids"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        for w, n in zip(out["w"].to_pylist(), range(len(self.known), len(self.known) + len(size)), strict=True):
+            self.known[words[w]] = n
+        self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, lists.values.to_numpy()[lists.offsets[0].as_py() :])
+
+    def part(self, texts: list[str | None]) -> tuple:
+        """Numbers of the words of all texts one after the other, and the number of words of each text."""
+        import numpy as np
 
-    def part(self, texts: list[str | None]) -> list[list[str]]:
-        """Words of each text; all of them are known afterwards."""
         parted = [self.find(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.forget()
         known = self.known
         if new := list({w for p in parted for w in p if w not in known}):
             self.learn(new)
-        return parted
+        return np.array([known[w] for p in parted for w in p], np.int64), np.array([len(p) for p in parted], np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        known = self.known
-        return [[i for w in p for i in known[w]] for p in self.part(texts)]
+    def counts(self, texts: list[str | None]):
+        """Number of ids of each text."""
+        import numpy as np
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        known = self.known
-        return [sum([len(known[w]) for w in p]) for p in self.part(texts)]
+        words, many = self.part(texts)
+        total = np.append(0, np.cumsum(self.size[words]))
+        ends = np.cumsum(many)
+        return total[ends] - total[ends - many]
+
+    def arrow(self, texts: list[str | None]):
+        """Ids of each text as an Arrow list array."""
+        import numpy as np
+        import pyarrow as pa
+
+        words, many = self.part(texts)
+        size = self.size[words]
+        total = np.append(0, np.cumsum(size))
+        at = np.repeat(self.first[words] - total[:-1], size) + np.arange(total[-1])
+        offsets = np.append(0, total[np.cumsum(many)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.flat[at]))
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return self.arrow(texts).to_pylist()
 
 
 @lru_cache(2)
@@ -124,7 +153,7 @@ def token_ids(texts: DataFrame, key: str, text: str, vocabulary: str | None = No
     path = vocabulary or f"{FOLDER}/byte_bpe_50k.json"
     kind = dict(texts.dtypes)[key]
     rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    out = map_rows(rows, lambda x: {"key": x["key"], "ids": encoder(path).encode(x["text"])}, f"key {kind}, ids array<int>", ROWS)
+    out = map_rows(rows, lambda x: {"key": x["key"], "ids": encoder(path).arrow(x["text"])}, f"key {kind}, ids array<int>", ROWS)
     return out.select(F.col("key").alias(key), F.col("ids").alias(ids))
 
 
@@ -133,5 +162,5 @@ def token_counts(texts: DataFrame, key: str, text: str, vocabulary: str | None =
     path = vocabulary or f"{FOLDER}/byte_bpe_50k.json"
     kind = dict(texts.dtypes)[key]
     rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    out = map_rows(rows, lambda x: {"key": x["key"], "n_tokens": encoder(path).counts(x["text"])}, f"key {kind}, n_tokens bigint", ROWS)
+    out = map_rows(rows, lambda x: {"key": x["key"], "n_tokens": encoder(path).counts(x["text"]).tolist()}, f"key {kind}, n_tokens bigint", ROWS)
     return out.withColumnRenamed("key", key)

@@ -42,6 +42,14 @@ TOKEN = re.compile(r"[^ \t\r\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+# A word of one alphabet in usual capitals, with usual signs around it
+PLAIN = re.compile(
+    r"[\[(“„\"'«¿¡]*(?:"
+    + "|".join(f"[{x.upper().replace('SS', 'ẞ')}{x}A-Za-z][{x}a-z]*" for x in (ALPHABETS[k] for k in ("western", "polish", "czech", "turkish", "vietnamese")))
+    + r"|[А-ЯЁа-яё][а-яё]*|[Α-ΩΆ-Ώα-ώ][α-ώ]*)[\])”\"'»’.,;:!?…]*"
+)
+
+
 def _rare_han(c: str) -> bool:
     """Outside the first levels of both national sets."""
     for codec, last in (("gb2312", 0xD7), ("shift_jis", 0x98)):
@@ -70,6 +78,12 @@ def _script(c: str) -> str:
     return "other"
 
 
+def _living(c: str) -> bool:
+    """Letters of scripts in wide use beside those told apart here."""
+    o = ord(c)
+    return 0x530 <= o < 0x10A0 or 0xAC00 <= o < 0xD7B0 or 0x1100 <= o < 0x1200 or o > 0xFFFF or 0x10A0 <= o < 0x1100 or 0x1200 <= o < 0x1380 or 0x1780 <= o < 0x1800 or 0xFF00 <= o < 0xFF61 or 0x2000 <= o < 0x3040
+
+
 def _word_cost(word: str) -> float:
     low = word.lower()
     scripts = {_script(c) for c in low}
@@ -79,6 +93,7 @@ def _word_cost(word: str) -> float:
     if scripts & {"kana", "han"}:
         cost += sum(_script(c) == "han" and _rare_han(c) for c in low)
         return cost + (0.5 if scripts - {"kana", "han", "half"} else 0)
+    cost += 2.0 * sum(_script(c) == "other" and not _living(c) for c in low)
     if len(scripts - {"half"}) > 1:
         cost += 1.0 + 0.5 * min(sum(_script(c) == s for c in low) for s in scripts - {"half"})
     if "cyrillic" in scripts:
@@ -98,10 +113,10 @@ def _word_cost(word: str) -> float:
     return cost
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 18)
 def token_cost(token: str) -> float:
     """0 for what is written so on purpose; grows with each sign of garbling."""
-    if token.isascii():
+    if token.isascii() or PLAIN.fullmatch(token):
         return 0.0
     cost = 0.0
     n = len(token)
@@ -157,6 +172,7 @@ LEGACY = [
     *((a, b) for a in ("cp1250", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "cp1253", "cp1254", "cp1257") for b in ("cp1252", "cp1250", "iso8859-2", "cp852") if a != b),
     *((a, b) for a in ("cp932", "gb18030", "big5", "euc_kr") for b in ("cp932", "euc_jp", "gb18030", "big5", "euc_kr", "cp1252", "cp1251", "cp1250") if a != b),
 ]
+TWO = re.compile("[\x80-\u036f\u2000-\u2bff][^\x00-\x7f]")  # UTF-8 takes two bytes at least, the first of them a sign or a Latin letter in those below
 SURE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")  # no word of any language decodes strictly from these by chance
 OUTER = "“”„«»‘’‹›…–—()[]{}<>\"'.,;:!?"
 
@@ -173,10 +189,12 @@ def recode(token: str, read: str, written: str) -> str | None:
         return None
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 18)
 def as_utf8(token: str) -> str:
     """The token as it was written in UTF-8, by the first encoding whose outcome is shorter and costs least; else itself."""
     best, least = token, token_cost(token)
+    if not least and not TWO.search(token):
+        return token
     for core in dict.fromkeys((token, token.strip(OUTER))):
         if not core or core.isascii():
             continue
@@ -222,23 +240,23 @@ def _repairs(text: str) -> dict[str, str]:
         if not t.isascii():
             many.setdefault(t, []).append(k)
     found = {t: new for t in many if (new := as_utf8(t)) != t}
-    if found:
-        if len(found) <= 3:
-            found = {t: new for t, new in found.items() if not all(_quoted(tokens, k, new) for k in many[t])}
+    if 0 < len(found) <= 3:
+        for t in [t for t, new in found.items() if all(_quoted(tokens, k, new) for k in many[t])]:
+            del found[t], many[t]
+    costly = [t for t in many if token_cost(t) > 0 and "\ufffd" not in t]
+    rest = sum([token_cost(t) * len(many[t]) for t in costly if t not in found])
+    taken = sum((token_cost(t) - token_cost(new)) * len(many[t]) for t, new in found.items())
+    if rest < LEAST_GAIN or found and rest <= taken:
         return found
-    costly = [t for t in many if token_cost(t) > 0]
-    if sum(token_cost(t) * len(many[t]) for t in costly) < LEAST_GAIN:
-        return {}
-    best, out = 0.0, {}
+    best, out = taken, found
     for read, written in LEGACY:
-        total, new, kinds = 0.0, {}, 0
-        for t in many:
+        total, new = 0.0, {}
+        for t in costly:
             drop, to = gain(t, read, written)
             if drop:
                 total += drop * len(many[t])
                 new[t] = to
-        kinds = len(new)
-        if total > best and total >= LEAST_GAIN and (kinds > 1 or total >= 2 or len(many) == 1):
+        if total > best and total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1):
             best, out = total, new
     return out
 

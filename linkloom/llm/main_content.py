@@ -22,13 +22,13 @@ WORD = re.compile(r"[^\W_]+")
 MEASURES = ("words", "bare_share", "link_share", "function_share", "near_share", "regularity", "autocorrelation", "distinct_share")
 
 
-def read_pages(pages: list[str | None], chance: float = CHANCE) -> list[tuple[list, list[int], dict[str, float], bool]]:
+def read_pages(pages: list[str | None], chance: float = CHANCE, every: bool = False) -> list[tuple[list, list[int], dict[str, float], bool]]:
     """Of each page its lines, the numbers (from 1) of its own lines, the measures of these, and whether it is stuffed."""
     lines = [text_lines(p) for p in pages]
     out = []
     for own, p in zip(lines, labeller().chances(lines), strict=True):
         numbers = (np.nonzero(p > chance)[0] + 1).tolist()
-        measured = profile([own[k - 1] for k in numbers])
+        measured = profile([own[k - 1] for k in numbers], every)
         out.append((own, numbers, measured, is_stuffed(measured)))
     return out
 
@@ -63,7 +63,7 @@ def stuffing_measures(pages: DataFrame, key: str = "page_id", html: str = "html"
     """One row for each page: the measures of its own content and ``stuffed``. Null and empty pages have zeros and false."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        read = read_pages(x["html"])
+        read = read_pages(x["html"], every=True)
         return {"key": x["key"], "stuffed": [bad for *_, bad in read]} | {k: [m[k] for _, _, m, _ in read] for k in MEASURES}
 
     kind = dict(pages.dtypes)[key]
@@ -73,4 +73,7 @@ def stuffing_measures(pages: DataFrame, key: str = "page_id", html: str = "html"
 
 def stuffed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Keys of the stuffed pages."""
-    return stuffing_measures(pages, key, html).where("stuffed").select(key)
+    kind = dict(pages.dtypes)[key]
+    rows = spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html")))
+    run = lambda x: {"key": [k for k, (*_, bad) in zip(x["key"], read_pages(x["html"]), strict=True) if bad]}
+    return map_rows(rows, run, f"key {kind}").withColumnRenamed("key", key)

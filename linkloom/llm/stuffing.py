@@ -9,7 +9,6 @@ fixed lag before them (autocorrelation over a window of lags), long runs of name
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -71,31 +70,41 @@ def autocorrelation(terms: np.ndarray) -> float:
     return max(float((terms[lag:] == terms[:-lag]).mean()) for lag in range(1, min(LAGS, n // 2) + 1)) - chance
 
 
-def profile(own: Sequence[Line]) -> dict[str, float]:
-    """Measures of the own content of a page; its heading, the first line, is left out. Without words all are 0."""
-    ids: dict[str, int] = defaultdict(lambda: len(ids))
-    bare: list[int] = []
+def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
+    """Measures of the own content of a page; its heading, the first line, is left out. Without words all are 0.
+
+    Unless ``every`` is set, the measures of the sequence are left out where half of the words or more stand in sentences, as they can't
+    change the outcome there.
+    """
+    bare: list[str] = []
     total = words_bare = words_linked = function = 0
     for line in own[1:]:
+        words = WORD.findall(line.text.lower())
+        if line.linked < 0.8 and len(hits := FUNCTION.intersection(words)) > 2 and END.search(line.text) and sum([w in hits for w in words]) >= 0.12 * len(words):
+            total += len(words)  # sentences throughout
+            continue
         for piece in PART.split(line.text):
             words = WORD.findall(piece.lower())
             if not words:
                 continue
-            hits = [w for w in words if w in FUNCTION]
-            known = len(hits)
+            hits = FUNCTION.intersection(words)
+            known = len(hits) if len(hits) == 0 else sum([w in FUNCTION for w in words])
             total += len(words)
-            sentence = line.linked < 0.8 and len(words) >= 4 and len(set(hits)) >= (2 if len(words) > 7 else 1) and known >= 0.06 * len(words) and (END.search(piece) is not None or known >= 0.25 * len(words) and len(words) > 9)
+            sentence = line.linked < 0.8 and len(words) >= 4 and len(hits) >= (2 if len(words) > 7 else 1) and known >= 0.06 * len(words) and (END.search(piece) is not None or known >= 0.25 * len(words) and len(words) > 9)
             if not sentence:
                 words_bare += len(words)
                 words_linked += len(words) if line.linked >= 0.8 else 0
                 function += known
-                bare.extend(ids[w] for w in words)
-    terms = np.array(bare, dtype=np.int64)
+                bare += words
+    if not every and words_bare <= 0.5 * total:
+        bare = []
+    number: dict[str, int] = {}
+    terms = np.array([number.setdefault(w, len(number)) for w in bare], dtype=np.int64)
     near, regular = gaps(terms)
     return {
         "words": float(total), "bare_share": words_bare / max(1, total), "link_share": words_linked / max(1, words_bare),
         "function_share": function / max(1, words_bare), "near_share": near, "regularity": regular,
-        "autocorrelation": autocorrelation(terms), "distinct_share": len(ids) / max(1, words_bare),
+        "autocorrelation": autocorrelation(terms), "distinct_share": len(number) / max(1, words_bare),
     }
 
 

@@ -5,6 +5,9 @@ partition. A partition then holds for each of its terms three numbers: occurrenc
 a row adds to the records only where its record differs from the last. No set of records is kept for any term. The slices
 hold disjoint records, so their counts add up; they part a term that a third of all rows may have.
 
+Each batch of rows also yields its different records once under the empty term, which no row can have: that term's number
+of records is the number of all records, terms or not, from the same reading.
+
 Terms count as equal after removing format characters (category Cf), NFC, lower-casing and trimming white space.
 Records are told apart by a 128-bit hash of their address, cut and normalised as in functions.urls.canonical.
 """
@@ -22,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.urls import canonical
 from linkloom.llm.pages import same_url
+from linkloom.session import written
 
 SLICES = 8
 
@@ -52,7 +55,9 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.array([record_key(u) for u in url.dictionary.to_pylist()], np.int64).reshape(-1, 2)
             rec = keys[url.indices.to_numpy(zero_copy_only=False)]
             out = pa.RecordBatch.from_arrays([names.take(term.indices), pa.array(rec[:, 0]), pa.array(rec[:, 1]), part.column("n")], names=["term", "r1", "r2", "n"])
-            yield out.filter(pc.not_equal(out.column("term"), ""))
+            yield out.filter(pc.fill_null(pc.not_equal(out.column("term"), ""), False))
+            every = np.unique(keys, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([""] * len(every), pa.string()), pa.array(every[:, 0]), pa.array(every[:, 1]), pa.array(np.zeros(len(every), np.int64))], names=["term", "r1", "r2", "n"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,28 +92,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(ids)), pa.array(seen[:k]), pa.array(records[:k])], names=["term", "occurrences", "records"])
 
 
-def term_frequency(rows: DataFrame, term: str, record: str, n: str | None = None, slices: int = SLICES) -> DataFrame:
-    """(term, occurrences, records) of every term.
-
-    Rows with a null term or record, and terms of which nothing is left, do not count. ``n``: occurrences in a row; null
-    or missing ones count as 0 occurrences, but the record counts. Repeated rows add occurrences, not records.
-    """
+def _all_counts(rows: DataFrame, term: str, record: str, n: str | None, slices: int) -> DataFrame:
     amount = F.lit(1) if n is None else F.coalesce(F.col(n), F.lit(0))
-    use = rows.select(F.col(term).alias("term"), F.col(record).alias("record"), amount.cast("bigint").alias("n")).where("term is not null and record is not null")
+    use = rows.select(F.col(term).alias("term"), F.col(record).alias("record"), amount.cast("bigint").alias("n")).where("record is not null")
     keyed = use.mapInArrow(_normalised, "term string, r1 bigint, r2 bigint, n bigint")
     parts = keyed.repartition(F.col("term"), F.pmod(F.col("r1"), F.lit(slices))).sortWithinPartitions("r1", "r2")
     counted = parts.mapInArrow(_counted, "term string, occurrences bigint, records bigint")
     return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def record_count(rows: DataFrame, record: str) -> DataFrame:
-    """One row (all_records): the number of different records; null ones do not count."""
-    return rows.select(record).where(F.col(record).isNotNull()).distinct().select(canonical(F.col(record)).alias("u")).distinct().agg(F.count("*").alias("all_records"))
+def term_frequency(rows: DataFrame, term: str, record: str, n: str | None = None, slices: int = SLICES) -> DataFrame:
+    """(term, occurrences, records) of every term.
+
+    Rows with a null term or record, and terms of which nothing is left, do not count. ``n``: occurrences in a row; null
+    or missing ones count as 0 occurrences, but the record counts. Repeated rows add occurrences, not records.
+    """
+    return _all_counts(rows, term, record, n, slices).where("term <> ''")
 
 
 def marked_terms(rows: DataFrame, term: str, record: str, n: str | None = None, least: int = 3, share: float = 0.3) -> DataFrame:
-    """Every term with its counts and ``mark``: rare below ``least`` records, else common above ``share`` of all records, else null."""
-    counts = term_frequency(rows, term, record, n)
-    total = F.broadcast(record_count(rows, record))  # one row
+    """Every term with its counts and ``mark``: rare below ``least`` records, else common above ``share`` of all records, else null.
+
+    The counts, one row for each term, are written once and read for the total and the marks.
+    """
+    counts = written(_all_counts(rows, term, record, n, SLICES))
+    total = F.broadcast(counts.where("term = ''").select(F.col("records").alias("all_records")))  # one row, or none for no rows
     mark = F.when(F.col("records") < least, "rare").when(F.col("records") > F.col("all_records") * share, "common")
-    return counts.join(total).select("term", "occurrences", "records", mark.alias("mark"))
+    return counts.where("term <> ''").join(total).select("term", "occurrences", "records", mark.alias("mark"))
