@@ -5,10 +5,11 @@ Nulls give null. A text that has no ``scheme://`` is returned cut, but otherwise
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/]*)(.*)$"
+HEAD = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*"
 SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
@@ -24,10 +25,10 @@ def _part(url: Column, group: int) -> Column:
 def canonical(url: Column) -> Column:
     """Equal for addresses of the same document: cut, scheme and host in lower case, default port dropped, empty path as /."""
     u = cut(url)
-    scheme, host, path = F.lower(_part(u, 1)), F.lower(_part(u, 2)), _part(u, 3)
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path))
-    return F.when(u.rlike(ABSOLUTE), whole).otherwise(u)
+    head = F.regexp_extract(u, HEAD, 0)
+    tail = F.substring(u, F.length(head) + 1, F.length(u))
+    bare = F.regexp_replace(F.lower(head), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+    return F.when(head == "", u).otherwise(F.concat(bare, F.when(tail == "", "/").otherwise(tail)))
 
 
 def host_of(url: Column) -> Column:
@@ -36,10 +37,9 @@ def host_of(url: Column) -> Column:
     return F.when(h != "", h)
 
 
-def root_of(url: Column) -> Column:
+def root_of(page: Column) -> Column:
     """``scheme://host[:port]`` of a canonical address; null where there is none."""
-    c = canonical(url)
-    r = F.regexp_extract(c, r"(?s)^([a-z][a-z0-9+.\-]*://[^/]+)", 1)
+    r = F.regexp_extract(page, r"^[a-z][a-z0-9+.\-]*://[^/]+", 0)
     return F.when(r != "", r)
 
 
@@ -53,29 +53,31 @@ def is_base_of(base: Column, url: Column) -> Column:
     return F.startswith(url, base_dir(base))
 
 
-def resolve(href: Column, page: Column, mode: str = "domain") -> Column:
-    """Absolute canonical address of a link found on ``page``; null where it is not usable.
+def resolve(links: DataFrame, href: str, page: str, target: str, mode: str = "domain") -> DataFrame:
+    """Adds ``target``: the absolute canonical address of the link ``href`` on the canonical address ``page``; null where not usable.
 
     The link is cut first. mode "domain" resolves relative links against the root of the site, "page" against the
     directory of the page. An empty link gives the root (domain) or the page (page). ``//host/x`` takes the page's scheme.
-    Links holding white space, ``<``, ``>``, ``"`` or a backslash are not well formed and give null.
+    Links holding white space, ``<``, ``>``, ``"`` or a backslash are not well formed and give null. The steps are columns of
+    their own, so that no pattern is matched twice; the last but one is generated, as filters on the target would else be
+    pushed through it and multiply its pattern matches.
     """
     if mode not in ("domain", "page"):
         raise ValueError(f"mode {mode!r}")
-    h, root, here = cut(href), root_of(page), canonical(page)
-    scheme = F.regexp_extract(here, r"^([a-z][a-z0-9+.\-]*):", 1)
-    below = F.concat(root, F.lit("/")) if mode == "domain" else base_dir(here)
-    empty = F.concat(root, F.lit("/")) if mode == "domain" else here
-    out = (
-        F.when(h.rlike(r'[\s<>"\\]'), None)
-        .when(h == "", empty)
-        .when(h.rlike(ABSOLUTE), canonical(h))
+    kept = links.columns
+    rows = links.withColumn("_h", cut(F.col(href))).withColumn("_root", root_of(F.col(page)))
+    h, root = F.col("_h"), F.col("_root")
+    below = F.concat(root, F.lit("/")) if mode == "domain" else base_dir(F.col(page))
+    whole = (
+        F.when(root.isNull() | h.isNull() | h.rlike(r'[\s<>"\\]'), None)
+        .when(h == "", F.concat(root, F.lit("/")) if mode == "domain" else F.col(page))
+        .when(h.rlike(ABSOLUTE), h)
         .when(h.rlike(SCHEME), None)
-        .when(h.startswith("//"), canonical(F.concat(scheme, F.lit(":"), h)))
+        .when(h.startswith("//"), F.concat(F.regexp_extract(root, "^[a-z][a-z0-9+.\\-]*:", 0), h))
         .when(h.startswith("/"), F.concat(root, h))
         .otherwise(F.concat(below, h))
     )
-    return F.when(root.isNotNull() & h.isNotNull(), out)
+    return rows.select(*kept, F.explode(F.array(whole)).alias("_whole")).select(*kept, canonical(F.col("_whole")).alias(target))
 
 
 def file_path(url: Column) -> Column:
