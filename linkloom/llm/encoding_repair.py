@@ -109,6 +109,7 @@ def _word_cost(word: str) -> float:
     # capitals after small letters
     if "cyrillic" in scripts and len(word) > 2 and word[0].islower() and word[1:].isupper():
         cost += 1
+    cost += sum(a.isupper() and b.isupper() and c.islower() and a > "\x7f" and b > "\x7f" for a, b, c in zip(word, word[1:], word[2:]))
     cost += sum(a.islower() and b.isupper() and (a > "\x7f" or b > "\x7f") for a, b in zip(word, word[1:]))
     return cost
 
@@ -232,8 +233,10 @@ def _quoted(tokens: list[str], at: int, right: str) -> bool:
     return any(t.strip(OUTER) == core for t in tokens[max(0, at - NEAR) : at + NEAR + 1])
 
 
-def _repairs(text: str) -> dict[str, str]:
-    """Tokens of one layer of garbling, with what they were."""
+def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
+    """Of one layer of garbling: tokens whose cost drops, with what they were; tokens that the same candidate turns at no cost; and
+    whether most of the text is garbled so.
+    """
     tokens = TOKEN.findall(text)
     many: dict[str, list[int]] = {}
     for k, t in enumerate(tokens):
@@ -247,8 +250,8 @@ def _repairs(text: str) -> dict[str, str]:
     rest = sum([token_cost(t) * len(many[t]) for t in costly if t not in found])
     taken = sum((token_cost(t) - token_cost(new)) * len(many[t]) for t, new in found.items())
     if rest < LEAST_GAIN or found and rest <= taken:
-        return found
-    best, out = taken, found
+        return found, {}, False
+    best, chosen, out = taken, None, found
     for read, written in LEGACY:
         total, new = 0.0, {}
         for t in costly:
@@ -256,9 +259,23 @@ def _repairs(text: str) -> dict[str, str]:
             if drop:
                 total += drop * len(many[t])
                 new[t] = to
-        if total > best and total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1):
-            best, out = total, new
-    return out
+        if total > best + 1e-9 and total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1):
+            best, chosen, out = total, (read, written), new
+    if chosen is None:
+        return found, {}, False
+    even = {t: new for t in many if t not in out and (new := recode(t, *chosen)) is not None and new != t and token_cost(new) <= token_cost(t)}
+    return out, even, 2 * sum(len(many[t]) for t in out) > sum(map(len, many.values()))
+
+
+def _turn(text: str, found: dict[str, str], even: dict[str, str], most: bool) -> str:
+    """Puts in what the tokens were. Tokens that turn at no cost do so on lines that hold a garbled one, or everywhere where most are."""
+    if not even:
+        return TOKEN.sub(lambda m: found.get(m[0], m[0]), text)
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if most or any(t in found for t in TOKEN.findall(line)):
+            lines[k] = TOKEN.sub(lambda m: found.get(m[0]) or even.get(m[0], m[0]), line)
+    return "\n".join(lines)
 
 
 def examine(text: str | None) -> tuple[bool, str | None, int, bool]:
@@ -269,8 +286,8 @@ def examine(text: str | None) -> tuple[bool, str | None, int, bool]:
     if not text or text.isascii():
         return False, text, 0, True
     now, layers = text, 0
-    while layers < LAYERS and (found := _repairs(now)):
-        now = TOKEN.sub(lambda m: found.get(m[0], m[0]), now)
+    while layers < LAYERS and (step := _repairs(now))[0]:
+        now = _turn(now, *step)
         layers += 1
     lost = "\ufffd" in now
     return layers > 0 or lost, now, layers, not lost

@@ -6,7 +6,6 @@ import html as entities
 import re
 from functools import lru_cache
 from typing import NamedTuple
-from urllib.parse import urlsplit
 
 # Tags that do not end a line.
 INLINE = frozenset("a abbr b cite code em i mark small span strong sub sup time u".split())
@@ -116,7 +115,5 @@ def same_url(url: str) -> str:
 @lru_cache(1 << 14)
 def host(url: str) -> str | None:
     """Host of an address in lower case, without user and port; null where there is none."""
-    try:
-        return urlsplit(same_url(url)).hostname or None
-    except ValueError:
-        return None
+    m = re.match(r"(?s)[A-Za-z][A-Za-z0-9+.\-]*://([^/]*)", same_url(url))
+    return re.sub(r":\d*$", "", re.sub(r"^.*@", "", m[1])) or None if m else None
