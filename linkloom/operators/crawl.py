@@ -40,6 +40,22 @@ def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame, known_invalid: Dat
     return visited, edges, failed
 
 
+def closure_of_snapshot(seeds: DataFrame, pages: DataFrame, rules: DataFrame, known_invalid: DataFrame, match: str = "base_of") -> DataFrame:
+    """(url, depth): what ``crawl`` visits over stored pages, without its rounds of fetching: links of all pages are taken and
+    admitted once, and the least depth comes from one search from all seeds together.
+    """
+    from linkloom.operators.paths import all_pairs
+    from linkloom.sources.pages import first_fetch
+
+    stored = written(first_fetch(pages.where("html is not null and html <> ''")).select("url", "html"))
+    found = lk.in_domain(lk.resolved(stored.select("url", F.col("url").alias("page_url"), "html"), "url", "page_url"))
+    edges = lk.admitted(found.select(F.col("page").alias("src"), F.col("target").alias("dst")).distinct(), known_invalid, rules, match)
+    begin = seeds.select("url").where("url is not null").distinct()
+    start = begin.select(F.lit("").alias("src"), F.col("url").alias("dst"))  # no address is empty
+    reached = all_pairs(edges.unionByName(start), stored.select("url").unionByName(start.select(F.col("src").alias("url"))), sources=start.select(F.col("src").alias("url")).distinct())
+    return reached.select(F.col("dst").alias("url"), (F.col("dist") - 1).alias("depth"))
+
+
 def snapshot_fetcher(pages: DataFrame) -> Fetcher:
     """A fetcher that answers from stored pages; the first fetch of an address (least page_id) with html counts."""
     from linkloom.sources.pages import first_fetch

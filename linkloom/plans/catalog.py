@@ -265,7 +265,16 @@ def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     stored = pg.first_fetch(pages.where("html is not null and html <> ''"))
     seeds = stored.groupBy(urls.host_of(F.col("url"))).agg(F.min("url").alias("url")).select("url")
-    return crawl.crawl(seeds, crawl.snapshot_fetcher(pages), robots_rules(spark, d), table(spark, d, "invalid"))[0]
+    return crawl.closure_of_snapshot(seeds, pages, robots_rules(spark, d), table(spark, d, "invalid"))
+
+
+@query()
+def crawl_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links that a crawl finds, by rounds of fetching, from the page with the most links to stored pages."""
+    pages = table(spark, d, "pages")
+    seed = site_graph(spark, d)[1].groupBy(F.col("src").alias("url")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "url").limit(1)
+    _, edges, _ = crawl.crawl(seed.select("url"), crawl.snapshot_fetcher(pages), robots_rules(spark, d), table(spark, d, "invalid"))
+    return graph.multiplicity(edges)
 
 
 # ---------------------------------------------------------------- topics

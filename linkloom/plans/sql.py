@@ -83,9 +83,9 @@ PAIRS = f"""{GRAPH}, d AS (SELECT DISTINCT src, dst FROM e),
     pairs AS (SELECT src, dst, min(dist)::INTEGER AS dist FROM walk GROUP BY 1, 2)"""
 NEXT = f"""{PAIRS}, hop AS (SELECT p.src, p.dst, p.dist, min(d.dst) AS next FROM pairs p JOIN d ON d.src = p.src LEFT JOIN pairs q ON q.src = d.dst AND q.dst = p.dst
     WHERE (p.dist = 1 AND d.dst = p.dst) OR (p.dist > 1 AND q.dist = p.dist - 1 AND d.dst <> p.dst) GROUP BY 1, 2, 3)"""
-PATHS = f"""{NEXT}, trail(src, dst, dist, at, path) AS (SELECT src, dst, dist, next, [next] FROM hop WHERE src <> dst
-    UNION ALL SELECT t.src, t.dst, t.dist, h.next, list_append(t.path, h.next) FROM trail t JOIN hop h ON h.src = t.at AND h.dst = t.dst WHERE t.at <> t.dst),
-    found AS (SELECT src, dst, dist, path FROM trail WHERE at = dst UNION ALL SELECT src, dst, dist, CAST([] AS VARCHAR[]) FROM hop WHERE src = dst)"""
+PATHS = f"""{NEXT}, trail(src, dst, dist, here, path) AS (SELECT src, dst, dist, next, [next] FROM hop WHERE src <> dst
+    UNION ALL SELECT t.src, t.dst, t.dist, h.next, list_append(t.path, h.next) FROM trail t JOIN hop h ON h.src = t.here AND h.dst = t.dst WHERE t.here <> t.dst),
+    found AS (SELECT src, dst, dist, path FROM trail WHERE here = dst UNION ALL SELECT src, dst, dist, CAST([] AS VARCHAR[]) FROM hop WHERE src = dst)"""
 
 RULES = """numbered AS (SELECT row_number() OVER () AS id, lower(host) AS host, string_split(body, chr(10)) AS lines FROM robots WHERE host IS NOT NULL AND body IS NOT NULL),
     lined AS (SELECT id, host, unnest(range(1, len(lines) + 1)) AS k, lines FROM numbered),

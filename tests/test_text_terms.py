@@ -1,0 +1,127 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.functions import text
+from linkloom.operators import plsa, terms
+from linkloom.sources import pages as pg
+
+
+def convert(spark, html, **k):
+    return spark.createDataFrame([(html,)], "h string").select(text.html_to_text(F.col("h"), **k).alias("t")).first()["t"]
+
+
+@pytest.mark.parametrize(
+    ("html", "wanted"),
+    [
+        ("<b>x</b><p>y</p> <i>z</i>", "x\r\nyz"), ("<li>a</li><li>b</li>", "ab"), ('<script>var t="</p>";</script>q', "q"), ("<!-- c --><!DOCTYPE html>d", "d"),
+        ("&amp;lt;&copy;&middot;", "&lt;©·"), ("", ""), (None, None), ("<title>T</title>", "T"),
+    ],
+)
+def test_html_to_text(spark, html, wanted):
+    assert convert(spark, html) == wanted
+
+
+def test_block_separators(spark):
+    assert convert(spark, "<li>a</li><li>b</li>", block_separators=True).split() == ["a", "b"]
+
+
+def test_tokens(spark):
+    t = spark.createDataFrame([("It's A\tb; x_y—z  (1+2)",), ("",), (None,), (" .,",)], "t string").select(text.tokens(F.col("t")).alias("t"))
+    assert [r["t"] for r in t.collect()] == [["it", "s", "a\tb", "x_y—z", "1", "2"], [], [], []]
+
+
+def test_noindex(spark):
+    given = ['<meta name="robots" content="noindex,follow">', "<META CONTENT='nofollow, NOINDEX' NAME=robots>", '<meta name="robots" content="index">', '<meta name="x" content="noindex">', None]
+    got = spark.createDataFrame([(g,) for g in given], "h string").select(text.has_noindex(F.col("h")).alias("x")).collect()
+    assert [r["x"] for r in got] == [True, True, False, False, False]
+
+
+def test_counts_and_vocabulary(spark, rows):
+    docs = spark.createDataFrame([("u", "a a b"), ("u", "b"), ("v", "c"), ("w", None), (None, "d"), ("x", "")], "url string, body string")
+    counts = terms.term_counts(docs, "url", F.col("body"))
+    assert rows(counts, "term", "url", "n") == [("a", "u", 2), ("b", "u", 2), ("c", "v", 1)]
+    assert rows(terms.vocabulary(counts)) == [(3, 2, 3, 5)]
+    assert rows(terms.dense(counts, counts.select("term").distinct()), "term", "url", "n") == [("a", "u", 2), ("a", "v", 0), ("b", "u", 2), ("b", "v", 0), ("c", "u", 0), ("c", "v", 1)]
+    assert rows(terms.vocabulary(counts.limit(0))) == [(0, 0, 0, 0)]
+
+
+def test_first_fetch(spark, rows):
+    pages = spark.createDataFrame([(2, "http://A/x", "two"), (1, "http://a/x#y", "one"), (3, None, "three")], "page_id long, url string, html string")
+    assert rows(pg.first_fetch(pages)) == [("http://a/x", 1, "one")]
+    wanted = spark.createDataFrame([("http://a/x",), ("http://a/z",), (None,)], "url string")
+    assert rows(pg.fetch_snapshot(wanted, pages)) == [("http://a/x", 1, True), ("http://a/z", None, False)]
+
+
+def test_fetch_with_any_getter(spark, rows):
+    def get(url, timeout):
+        return {"http://a/1": ("text/html", "page"), "http://a/2": ("image/png", "x")}.get(url, (None, None))
+
+    wanted = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("http://a/2",), ("http://a/3",), (None,)], "url string")
+    assert rows(pg.fetch(wanted, get).select("url", "html")) == [("http://a/1", "page"), ("http://a/2", None), ("http://a/3", None)]
+
+
+COUNTS = [("a", "d1", 2), ("b", "d1", 1), ("b", "d2", 3), ("c", "d2", 1)]
+
+
+def by_hand(topics, update, iterations=1):
+    """Plain loops over a dense matrix."""
+    ws, ds = sorted({c[0] for c in COUNTS}), sorted({c[1] for c in COUNTS})
+    n = {(w, d): 0 for w in ws for d in ds} | {(w, d): k for w, d, k in COUNTS}
+    u = lambda key, z: (int(hashlib.md5(f"{key}|{z}".encode()).hexdigest()[:8], 16) % plsa.MODULUS + 1) / (plsa.MODULUS + 1)
+    zs = range(topics)
+    pw, pd = ({k: [u(k, z + 1) / sum(u(k, y + 1) for y in zs) for z in zs] for k in keys} for keys in (ws, ds))
+    groups = [[z] for z in zs] if update == "sequential" else [list(zs)]
+    for _ in range(iterations):
+        for some in groups:
+            new = {w: {z: pw[w][z] * sum(n[w, d] * pd[d][z] / sum(pw[w][y] * pd[d][y] for y in zs) for d in ds) for z in some} for w in ws}
+            for z in some:
+                total = sum(new[w][z] for w in ws)
+                for w in ws:
+                    pw[w][z] = new[w][z] / total
+        for some in groups:
+            new = {d: {z: pd[d][z] * sum(n[w, d] * pw[w][z] / sum(pw[w][y] * pd[d][y] for y in zs) for w in ws) for z in some} for d in ds}
+            for d in ds:
+                for z in some:
+                    pd[d][z] = new[d][z]
+        for d in ds:
+            total = sum(pd[d])
+            pd[d] = [x / total for x in pd[d]]
+    return pw, pd
+
+
+@pytest.mark.parametrize("update", ["sequential", "simultaneous"])
+def test_plsa_by_hand(spark, update):
+    counts = spark.createDataFrame(COUNTS, "term string, url string, n long")
+    m = plsa.fit(counts, 2, 2, update)
+    pw, pd = by_hand(2, update, 2)
+    assert {r["term"]: pytest.approx(r["p"]) for r in m.terms.collect()} == pw
+    assert {r["url"]: pytest.approx(r["p"]) for r in m.documents.collect()} == pd
+
+
+def test_plsa_invariants(spark):
+    counts = spark.createDataFrame(COUNTS, "term string, url string, n long")
+    m = plsa.start(counts, 3)
+    before = plsa.log_likelihood(counts, m)
+    for _ in range(3):
+        m = plsa.step_documents(counts, plsa.step_terms(counts, m, "simultaneous"), "simultaneous")
+        now = plsa.log_likelihood(counts, m)
+        assert now >= before - 1e-9
+        before = now
+    assert [r["total"] for r in plsa.row_sums(m.documents, "url").collect()] == [pytest.approx(1)] * 2
+    for z in range(3):
+        assert sum(r["p"][z] for r in m.terms.collect()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        plsa.fit(counts, 2, 1, "other")
+
+
+def test_topic_filter_keeps_ties(spark, rows):
+    docs = spark.createDataFrame([("t", [0.4, 0.4, 0.2]), ("u", [0.1, 0.1, 0.8]), ("v", [0.34, 0.33, 0.33])], "url string, p array<double>")
+    assert rows(plsa.topic_filter(docs, 3, 1.2)) == [(1, "t", 0.4), (2, "t", 0.4), (3, "u", 0.8)]
+    assert rows(plsa.report_lines(docs, "url", True).where("url = 'u' and topic = 3"), "line") == [("[Topic 3,u]=0.800000",)]
+
+
+def test_empty_counts(spark):
+    counts = spark.createDataFrame([], "term string, url string, n long")
+    assert plsa.fit(counts, 2, 1).terms.count() == 0
