@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/]*)(.*)$"
 HEAD = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*"
+CLEAN = r"^[a-z][a-z0-9+.\-]*://[a-z0-9.\-_]+/[^#?]*$"  # canonical as it stands
 SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
@@ -28,7 +29,12 @@ def canonical(url: Column) -> Column:
     head = F.regexp_extract(u, HEAD, 0)
     tail = F.substring(u, F.length(head) + 1, F.length(u))
     bare = F.regexp_replace(F.lower(head), "^(http://.*):80$|^(https://.*):443$", "$1$2")
-    return F.when(head == "", u).otherwise(F.concat(bare, F.when(tail == "", "/").otherwise(tail)))
+    return F.when(url.rlike("(?s)" + CLEAN), url).when(head == "", u).otherwise(F.concat(bare, F.when(tail == "", "/").otherwise(tail)))
+
+
+def fenced(expression: Column) -> Column:
+    """The expression as a generated column: what is asked of it later is not pushed into it, which would multiply its pattern matches. One in a select."""
+    return F.explode(F.array(expression))
 
 
 def host_of(url: Column) -> Column:
@@ -58,9 +64,8 @@ def resolve(links: DataFrame, href: str, page: str, target: str, mode: str = "do
 
     The link is cut first. mode "domain" resolves relative links against the root of the site, "page" against the
     directory of the page. An empty link gives the root (domain) or the page (page). ``//host/x`` takes the page's scheme.
-    Links holding white space, ``<``, ``>``, ``"`` or a backslash are not well formed and give null. The steps are columns of
-    their own, so that no pattern is matched twice; the last but one is generated, as filters on the target would else be
-    pushed through it and multiply its pattern matches.
+    Links holding white space, ``<``, ``>``, ``"`` or a backslash are not well formed and give null, as do ``file:`` links. The steps are columns of
+    their own, so that no pattern is matched twice; the last ones are fenced.
     """
     if mode not in ("domain", "page"):
         raise ValueError(f"mode {mode!r}")
@@ -70,6 +75,7 @@ def resolve(links: DataFrame, href: str, page: str, target: str, mode: str = "do
     below = F.concat(root, F.lit("/")) if mode == "domain" else base_dir(F.col(page))
     whole = (
         F.when(root.isNull() | h.isNull() | h.rlike(r'[\s<>"\\]'), None)
+        .when(h.rlike("(?i)^file:"), None)
         .when(h == "", F.concat(root, F.lit("/")) if mode == "domain" else F.col(page))
         .when(h.rlike(ABSOLUTE), h)
         .when(h.rlike(SCHEME), None)
@@ -77,7 +83,7 @@ def resolve(links: DataFrame, href: str, page: str, target: str, mode: str = "do
         .when(h.startswith("/"), F.concat(root, h))
         .otherwise(F.concat(below, h))
     )
-    return rows.select(*kept, F.explode(F.array(whole)).alias("_whole")).select(*kept, canonical(F.col("_whole")).alias(target))
+    return rows.select(*kept, fenced(whole).alias("_whole")).select(*kept, fenced(canonical(F.col("_whole"))).alias(target))
 
 
 def file_path(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.session import spread
 
 
 def prune_documents(documents: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def prune_documents(documents: DataFrame, invalid: DataFrame) -> DataFrame:
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
-    return edges.where("src is not null and dst is not null").select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
+    return spread(edges.select("src", "dst")).where("src is not null and dst is not null").select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
 
 
 def prune_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text, urls
 from linkloom.operators import robots as rb
+from linkloom.session import spread
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, href) of each double-quoted link of the raw page, comments and scripts included. pos counts from 0."""
-    return pages.select(key, F.posexplode(text.hrefs(F.col(html))).alias("pos", "href"))
+    return spread(pages.select(key, html)).select(key, F.posexplode(text.hrefs(F.col(html))).alias("pos", "href"))
 
 
 def resolved(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", mode: str = "domain") -> DataFrame:
     """(key, page, pos, href, target): target is the canonical address, null where the link is not usable. Pages without address or html have none."""
-    rows = pages.select(F.col(key), urls.canonical(F.col(url)).alias("page"), F.posexplode(text.hrefs(F.col(html))).alias("pos", "href"))
+    rows = spread(pages.select(*dict.fromkeys((key, url, html)))).select(F.col(key), urls.canonical(F.col(url)).alias("page"), F.posexplode(text.hrefs(F.col(html))).alias("pos", "href"))
     return urls.resolve(rows.where("page is not null"), "href", "page", "target", mode)
 
 
@@ -47,7 +48,7 @@ def disposition(links: DataFrame, invalid: DataFrame, rules: DataFrame, match: s
 
 def admitted(edges: DataFrame, invalid: DataFrame, rules: DataFrame, match: str = "base_of") -> DataFrame:
     """(src, dst): edges whose target is known, did not fail and is not forbidden. Repeated edges stay."""
-    e = edges.where("src is not null and dst is not null").select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst")).alias("dst"))
+    e = spread(edges.select("src", "dst")).where("src is not null and dst is not null").select(urls.canonical(F.col("src")).alias("src"), urls.fenced(urls.canonical(F.col("dst"))).alias("dst"))
     bad = invalid.where("url is not null").select(urls.canonical(F.col("url")).alias("dst"))
     e = e.join(bad, "dst", "left_anti").withColumn("host", urls.host_of(F.col("dst")))
     r = rules.select(F.col("host").alias("h"), "prefix")

@@ -45,6 +45,7 @@ def resolve(href: str, page: str) -> str:
     """Against the root of the site."""
     h, r = cut(href), root(page)
     return f"""(CASE WHEN {r} IS NULL OR {href} IS NULL OR regexp_matches({h}, '[\\s<>"\\\\]') THEN NULL
+        WHEN regexp_matches({h}, '(?i)^file:') THEN NULL
         WHEN {h} = '' THEN {r} || '/'
         WHEN regexp_matches({h}, '{ABSOLUTE}') THEN {canon(h)}
         WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL

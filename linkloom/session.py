@@ -30,3 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """At least as many partitions as cores; a frame that has them, by its files or its plan, is not shuffled.
+
+    Frames behind a shuffle are taken as they are: the engine has sized them, and asking for their number would run them.
+    """
+    if df.isStreaming:
+        return df
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= least or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(2 * least)
