@@ -9,18 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-ROWS = 256
-
+from linkloom.session import spread
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """At least as many partitions as cores; a frame that has them, by its files or its plan, is not shuffled.
+__all__ = ["ROWS", "map_rows", "spread", "table"]
 
-    Frames behind a shuffle are taken as they are: the engine has sized them, and asking for their number would run them.
-    """
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= least or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(2 * least)
+ROWS = 256
 
 
 def map_rows(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ROWS) -> DataFrame:
