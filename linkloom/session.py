@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN: list[str] = []
+
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Takes the folder that the session names in spark.checkpoint.dir; only where none is named, a temporary one (tests, one machine)."""
@@ -29,9 +31,17 @@ def written(df: DataFrame) -> DataFrame:
     use_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written. Frames that rest on them can't be read afterwards."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """At least as many partitions as cores; a frame that has them, by its files or its plan, is not shuffled.
 
@@ -43,3 +53,13 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     if len(df.inputFiles()) >= least or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     return df if df.rdd.getNumPartitions() >= least else df.repartition(2 * least)
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of all rows of a frame read from files: as many as it is read in, so that tasks stay as small as the reader's at any
+    size, and no fewer than the session's; the session's alone for a frame behind a shuffle.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return usual
+    return max(usual, df.rdd.getNumPartitions())

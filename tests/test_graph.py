@@ -135,3 +135,19 @@ def test_reports_and_sinks(spark, rows, tmp_path):
     sinks.save_pages(pages, str(tmp_path / "pages"))
     assert rows(spark.read.parquet(str(tmp_path / "pages")), "directory", "path", "html") == [("s", "x/index.html", "h")]
     assert rows(sinks.page_paths(pages)) == [(1, "s", "x/index.html")]
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from linkloom import session
+
+    df = session.written(spark.range(5).toDF("x"))
+    path = session.WRITTEN[-1].removeprefix("file:")
+    assert df.count() == 5
+    assert os.path.isdir(path)
+    kept = session.WRITTEN[:-1]
+    session.WRITTEN[:] = session.WRITTEN[-1:]
+    session.drop_written(spark)
+    session.WRITTEN[:] = kept
+    assert not os.path.isdir(path)
