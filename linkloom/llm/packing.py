@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkloom.session import cut_lineage
 
-BUCKETS = 256
+BUCKETS = 256  # at least; twice the cores where these are more
 CONTAINERS = 100
 
 Pattern = tuple[tuple[int, int], ...]
@@ -60,7 +60,7 @@ def intervals(patterns: list[tuple[int, Pattern]]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4), packs
 
 
-def fill_containers(items: DataFrame, key: str, length: str, containers: dict[int, int], buckets: int = BUCKETS) -> DataFrame:
+def fill_containers(items: DataFrame, key: str, length: str, containers: dict[int, int], buckets: int | None = None) -> DataFrame:
     """(container_id, key, piece_no, n_tokens, pack_id) of each piece of each item, for each kind of container.
 
     ``containers``: capacity by container_id. Only an item longer than the capacity is split: into pieces of the
@@ -69,6 +69,7 @@ def fill_containers(items: DataFrame, key: str, length: str, containers: dict[in
     """
     if not 0 < len(containers) <= CONTAINERS or min(containers.values()) <= 0:
         raise ValueError(f"1 to {CONTAINERS} kinds of containers with a capacity above 0 are needed")
+    buckets = buckets or max(BUCKETS, 2 * items.sparkSession.sparkContext.defaultParallelism)
     kinds = F.array(*(F.struct(F.lit(k).cast("int").alias("container_id"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(containers.items())))
     items = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
     each = cut_lineage(items).withColumn("c", F.explode(kinds)).select("key", "n", "c.*")

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.pages import same_url
-from linkloom.session import written
+from linkloom.session import parts_for, written
 
-SLICES = 8
+SLICES = 8  # at least; half the cores where these are more
 
 
 @lru_cache(1 << 17)
@@ -92,16 +92,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(ids)), pa.array(seen[:k]), pa.array(records[:k])], names=["term", "occurrences", "records"])
 
 
-def _all_counts(rows: DataFrame, term: str, record: str, n: str | None, slices: int) -> DataFrame:
+def _all_counts(rows: DataFrame, term: str, record: str, n: str | None, slices: int | None) -> DataFrame:
+    slices = slices or max(SLICES, rows.sparkSession.sparkContext.defaultParallelism // 2)
     amount = F.lit(1) if n is None else F.coalesce(F.col(n), F.lit(0))
     use = rows.select(F.col(term).alias("term"), F.col(record).alias("record"), amount.cast("bigint").alias("n")).where("record is not null")
     keyed = use.mapInArrow(_normalised, "term string, r1 bigint, r2 bigint, n bigint")
-    parts = keyed.repartition(F.col("term"), F.pmod(F.col("r1"), F.lit(slices))).sortWithinPartitions("r1", "r2")
+    parts = keyed.repartition(parts_for(use), F.col("term"), F.pmod(F.col("r1"), F.lit(slices))).sortWithinPartitions("r1", "r2")
     counted = parts.mapInArrow(_counted, "term string, occurrences bigint, records bigint")
     return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def term_frequency(rows: DataFrame, term: str, record: str, n: str | None = None, slices: int = SLICES) -> DataFrame:
+def term_frequency(rows: DataFrame, term: str, record: str, n: str | None = None, slices: int | None = None) -> DataFrame:
     """(term, occurrences, records) of every term.
 
     Rows with a null term or record, and terms of which nothing is left, do not count. ``n``: occurrences in a row; null
@@ -115,7 +116,7 @@ def marked_terms(rows: DataFrame, term: str, record: str, n: str | None = None,
 
     The counts, one row for each term, are written once and read for the total and the marks.
     """
-    counts = written(_all_counts(rows, term, record, n, SLICES))
+    counts = written(_all_counts(rows, term, record, n, None))
     total = F.broadcast(counts.where("term = ''").select(F.col("records").alias("all_records")))  # one row, or none for no rows
     mark = F.when(F.col("records") < least, "rare").when(F.col("records") > F.col("all_records") * share, "common")
     return counts.where("term <> ''").join(total).select("term", "occurrences", "records", mark.alias("mark"))
