@@ -20,9 +20,10 @@ import numpy as np
 
 from linkloom.llm.pages import Line, line_key
 
-WORDS, PATHS, FORMS = 4096, 512, 14
+WORDS, PATHS, FORMS = 4096, 512, 16
 WEIGHTS = Path(__file__).with_name("blocks.npz")
 WORD = re.compile(r"[^\W\d_]+|0|[|›»©:–—#!?.,]|\n")
+TITLE = re.compile(r" [–|-] ")
 ENDS = frozenset(".!?…\"”»")
 
 
@@ -71,20 +72,21 @@ class Features:
             wat += [done + k for k in begins]
             words += ids
             path = None
+            title = TITLE.split(page[0].text)[0].lower() if page[0].path[-1:] == ("title",) else None
             for line in page:
                 s, own = line.text, line.path
                 pat.append(len(paths))
                 paths += path_ids(own)
                 n = len(s)
-                raw.append((n, s.count(" ") + 1, sum(map(str.isdigit, s)) if n < 60 else 0, line.linked, s[-1] in ENDS, s[0].islower(), s.isupper(), s.count(","), path == own, s.count("|") + s.count("›")))
+                raw.append((n, s.count(" ") + 1, sum(map(str.isdigit, s)) if n < 60 else 0, line.linked, s[-1] in ENDS, s[0].islower(), s.isupper(), s.count(","), path == own, s.count("|") + s.count("›"), path is not None and s.lower() == title, sum([w[0].isupper() for w in s.split(" ")]) if n < 60 else 0))
                 path = own
         self.words, self.wat, self.paths, self.pat = (np.array(x, dtype=np.int64) for x in (words, wat, paths, pat))
-        n, many, digits, linked, ends, low, up, commas, same, bars = np.array(raw, dtype=np.float64).reshape(-1, 10).T
+        n, many, digits, linked, ends, low, up, commas, same, bars, titled, capitals = np.array(raw, dtype=np.float64).reshape(-1, 12).T
         of = np.repeat(self.sizes, self.sizes).astype(np.float64)
         at = np.arange(len(of)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.forms = np.stack([
             np.minimum(n, 600) / 200, np.minimum(many, 80) / 20, digits / n, linked, ends, low, up, at / of, np.minimum(at, 30) / 30,
-            np.minimum(of - at, 30) / 30, commas / many, same, np.minimum(bars, 5) / 2, np.ones(len(n)),
+            np.minimum(of - at, 30) / 30, commas / many, same, np.minimum(bars, 5) / 2, titled, capitals / many, np.ones(len(n)),
         ], axis=1).astype(np.float32)
 
 

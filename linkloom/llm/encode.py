@@ -4,6 +4,8 @@ A text is parted into words by the vocabulary's pattern. The distinct words of a
 rows (word, position, token), one for each byte. A recursive query joins neighbouring rows with the merge table and in
 each round contracts the leftmost pair of least rank in every word, until no word has a pair; ordered aggregation then
 gives each word's ids, and the words of a text are put together. The words that a worker knows are kept, up to a bound.
+A word of more than ``LONG`` bytes, as texts without blanks have, would take as many rounds over all its rows; its contractions, the
+same in the same order, come off a heap.
 """
 
 from __future__ import annotations
@@ -11,14 +13,19 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow import map_rows, spread
 
 KNOWN = 1 << 18
+LONG = 200  # bytes of a word above which its contractions come off a heap: rounds grow with the longest word
 ROWS = 4096
 FOLDER = os.environ.get("LINKLOOM_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: how the vocabulary parts words.
@@ -26,26 +33,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 CONTRACT = """
 WITH RECURSIVE state(w, pos, tok, round) AS (
-    SELECT w, pos, tok, 0 FROM start
+    SELECT w, pos, tok, 0::USMALLINT FROM start
     UNION ALL
-    SELECT w, pos, CASE WHEN rank_here = best THEN made ELSE tok END, round + 1
+    SELECT w, pos, CASE WHEN here = best THEN made ELSE tok END, (round + 1)::USMALLINT
     FROM (
-        SELECT *, lag(rank_here) OVER (PARTITION BY w ORDER BY pos) AS rank_before
+        SELECT *, min(here) OVER (PARTITION BY w) AS best
         FROM (
-            SELECT *, min(rank_here) OVER (PARTITION BY w) AS best
-            FROM (
-                SELECT s.w, s.pos, s.tok, s.round, m.made, m.rank * 1048576 + s.pos AS rank_here
-                FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM state) s
-                LEFT JOIN merges m ON s.tok = m.a AND s.next = m.b
-            )
+            SELECT s.w, s.pos, s.tok, s.round, m.made, (m.rank << 40) | (s.pos << 20) | s.after AS here
+            FROM (SELECT *, lead(tok) OVER own AS next, lead(pos) OVER own AS after FROM state WINDOW own AS (PARTITION BY w ORDER BY pos)) s
+            LEFT JOIN merges m ON (s.tok::BIGINT << 20 | s.next) = m.pair
         )
-        WHERE best IS NOT NULL
     )
-    WHERE rank_before IS NULL OR rank_before <> best
+    WHERE best IS NOT NULL AND pos <> best & 1048575
 )
 SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM state)
-WHERE round = last
+FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
 GROUP BY w
 """
 
@@ -60,7 +62,6 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str):
         import duckdb
-        import pyarrow as pa
         import regex
 
         model = json.loads(Path(path).read_text())["model"]
@@ -69,25 +70,50 @@ class Encoder:
         for letter, b in letters.items():
             self.byte_ids[b] = vocab[letter]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        merges = pa.table({"a": pa.array([vocab[x] for x, _ in pairs], pa.int32()), "b": pa.array([vocab[y] for _, y in pairs], pa.int32()), "made": pa.array([vocab[x + y] for x, y in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int64())})
+        merges = pa.table({"pair": pa.array([vocab[x] << 20 | vocab[y] for x, y in pairs], pa.int64()), "made": pa.array([vocab[x + y] for x, y in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int64())})
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
+        self.made = {(vocab[x], vocab[y]): (k, vocab[x + y]) for k, (x, y) in enumerate(pairs)}
         self.find = regex.compile(PATTERN).findall
         self.forget()
 
     def forget(self) -> None:
-        import numpy as np
-
         self.known: dict[str, int] = {}  # number of a word; its ids are flat[first : first + size]
         self.first, self.size, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words, by the recursive query."""
-        import numpy as np
-        import pyarrow as pa
+    def contract(self, raw: bytes) -> list[int]:
+        """Ids of one word: leftmost pair of least rank first, from a heap, over linked positions."""
+        tok: list[int] = [self.byte_ids[b] for b in raw]
+        after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
+        made, end = self.made, len(tok)
+        heap = [(m[0], k, tok[k], tok[k + 1], m[1]) for k in range(end - 1) if (m := made.get((tok[k], tok[k + 1])))]
+        heapify(heap)
+        while heap:
+            _, k, a, b, new = heappop(heap)
+            n = after[k]
+            if tok[k] != a or n >= end or tok[n] != b:
+                continue  # one of them is gone
+            tok[k], tok[n] = new, -1
+            after[k] = after[n]
+            if after[k] < end:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < end and (m := made.get((tok[left], tok[after[left]]))):
+                    heappush(heap, (m[0], left, tok[left], tok[after[left]], m[1]))
+        return [t for t in tok if t >= 0]
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words, by the recursive query; of long ones from a heap."""
         raw = [w.encode("utf-8", "replace") for w in words]
+        if long := {w: b for w, b in zip(words, raw, strict=True) if len(b) > LONG}:
+            for w, b in long.items():
+                ids = self.contract(b)
+                self._keep([w], np.array([len(ids)]), np.array(ids, np.int32))
+            words = [w for w in words if w not in long]
+            raw = [b for b in raw if len(b) <= LONG]
+            if not words:
+                return
         sizes = np.array([len(b) for b in raw])
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         tok = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
@@ -97,16 +123,17 @@ class Encoder:
         self.db.unregister("start")
         lists = out["ids"].combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
-        for w, n in zip(out["w"].to_pylist(), range(len(self.known), len(self.known) + len(size)), strict=True):
-            self.known[words[w]] = n
+        self._keep([words[w] for w in out["w"].to_pylist()], size, lists.values.to_numpy()[lists.offsets[0].as_py() :])
+
+    def _keep(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        for n, w in enumerate(words, len(self.known)):
+            self.known[w] = n
         self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.flat = np.append(self.flat, lists.values.to_numpy()[lists.offsets[0].as_py() :])
+        self.flat = np.append(self.flat, ids)
 
     def part(self, texts: list[str | None]) -> tuple:
         """Numbers of the words of all texts one after the other, and the number of words of each text."""
-        import numpy as np
-
         parted = [self.find(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
             self.forget()
@@ -117,8 +144,6 @@ class Encoder:
 
     def counts(self, texts: list[str | None]):
         """Number of ids of each text."""
-        import numpy as np
-
         words, many = self.part(texts)
         total = np.append(0, np.cumsum(self.size[words]))
         ends = np.cumsum(many)
@@ -126,9 +151,6 @@ class Encoder:
 
     def arrow(self, texts: list[str | None]):
         """Ids of each text as an Arrow list array."""
-        import numpy as np
-        import pyarrow as pa
-
         words, many = self.part(texts)
         size = self.size[words]
         total = np.append(0, np.cumsum(size))

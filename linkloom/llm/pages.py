@@ -31,6 +31,13 @@ class Line(NamedTuple):
     ids: tuple[int, ...]  # number of each open element
 
 
+@lru_cache(1 << 14)
+def named(tag: str, attributes: str) -> str:
+    """The tag with its id or class, the first of them."""
+    name = NAMED.search(attributes)
+    return f"{tag}.{name[1]}" if name else tag
+
+
 def text_lines(page: str | None) -> list[Line]:
     """Lines of a page in document order; null and empty pages have none.
 
@@ -46,12 +53,11 @@ def text_lines(page: str | None) -> list[Line]:
 
     def flush() -> None:
         nonlocal linked
-        if parts:
-            raw = "".join(parts)
-            text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-            if text:
-                out.append(Line(text, tuple(x[1] for x in stack), min(1.0, linked / max(1, len(raw.strip()))), tuple(x[2] for x in stack)))
-            parts.clear()
+        raw = "".join(parts)
+        text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
+        if text:
+            out.append(Line(text, tuple([x[1] for x in stack]), min(1.0, linked / max(1, len(raw.strip()))) if linked else 0.0, tuple([x[2] for x in stack])))
+        parts.clear()
         linked = 0
 
     for m in MARK.finditer(page):
@@ -62,18 +68,19 @@ def text_lines(page: str | None) -> list[Line]:
             if inside:
                 linked += len(piece)
         pos = m.end()
-        tag = m["tag"]
+        raw, end, tag, rest = m.groups()
         if tag is None:
-            if m["raw"]:
+            if raw:
                 flush()
             continue
         tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                inside = 0 if m["end"] else 1
+                inside = 0 if end else 1
             continue
-        flush()
-        if m["end"]:
+        if parts:
+            flush()
+        if end:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -83,8 +90,7 @@ def text_lines(page: str | None) -> list[Line]:
             while stack and stack[-1][0] in shut:
                 stack.pop()
             serial += 1
-            name = NAMED.search(m["rest"]) if m["rest"] else None
-            stack.append((tag, f"{tag}.{name[1]}" if name else tag, serial))
+            stack.append((tag, named(tag, rest) if rest else tag, serial))
     if pos < len(page):
         parts.append(page[pos:])
         if inside:

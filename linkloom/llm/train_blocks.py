@@ -18,13 +18,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from linkloom.llm.blocks import FORMS, PATHS, WEIGHTS, WORDS, Features, Labeller, run_lstm
+from linkloom.llm.blocks import FORMS, PATHS, TITLE, WEIGHTS, WORDS, Features, Labeller, run_lstm
 from linkloom.llm.pages import Line, host, line_key, text_lines
 
 PAGES = 6000
+RARE = 4  # times that a page without own content is shown, as there are few
+UNKNOWN_WORDS, UNKNOWN_LINES = 0.1, 0.4  # shares made unknown in training, as other crawls have other words
 DIM_WORD, DIM_PATH, UNITS = 24, 16, 32
 DATE = re.compile(r"^\d{1,2}(\.\d\d\.\d{4}|\.? \w+ \d{4})$|^\d{4}-\d\d-\d\d$")
-SITE = re.compile(r" [–|-] ")
 
 
 def site_key(text: str, site: str) -> str:
@@ -34,7 +35,7 @@ def site_key(text: str, site: str) -> str:
 
 def container(lines: list[Line]) -> tuple[int, int, int] | None:
     """Number of the heading line, and first and last line of the element that holds it."""
-    title = SITE.split(lines[0].text)[0].lower() if lines else ""
+    title = TITLE.split(lines[0].text)[0].lower() if lines else ""
     head = next((k for k, x in enumerate(lines) if any(p.split(".")[0] == "h1" for p in x.path)), None)
     if head is None:
         same = [k for k, x in enumerate(lines) if k and x.text.lower() == title and x.path and x.path[-1].split(".")[0] == "div" and x.linked == 0]
@@ -56,7 +57,7 @@ class Teacher:
         outside, inside, heads, pointers, leads = defaultdict(set), defaultdict(set), defaultdict(set), Counter(), Counter()
         local, self.sites = defaultdict(set), []
         for n, (url, lines) in enumerate(pages):
-            site = SITE.split(lines[0].text)[-1].lower() if lines else ""
+            site = TITLE.split(lines[0].text)[-1].lower() if lines else ""
             self.sites.append(site)
             at, h = container(lines), (host(url) if url else None) or site
             if at and at[2] - at[0] <= 4:
@@ -80,6 +81,11 @@ class Teacher:
         self.leads = {k for k, v in leads.items() if v >= 60 and not k[0].isdigit()}
         self.local = {k for k, v in local.items() if len(v) >= 2}
 
+    def is_error(self, lines: list[Line], at: tuple[int, int, int], site: str) -> bool:
+        """A short page whose title names the site alone, or whose heading is that of short pages elsewhere."""
+        head, _, last = at
+        return last - head <= 4 and (len(TITLE.split(lines[0].text)) == 1 or site_key(lines[head].text, site) in self.errors)
+
     def labels(self, n: int, url: str | None, lines: list[Line]) -> np.ndarray | None:
         site, at = self.sites[n], container(lines)
         h = (host(url) if url else None) or site
@@ -88,7 +94,7 @@ class Teacher:
             known = [site_key(x.text, site) in self.outside or (h, site_key(x.text, site)) in self.local for x in lines[1:]]
             return out if all(known) else None
         head, first, last = at
-        if last - head <= 4 and site_key(lines[head].text, site) in self.errors:  # an error page
+        if self.is_error(lines, at, site):
             return out
         for k in range(head, last + 1):
             x = lines[k]
@@ -146,9 +152,13 @@ def start(seed: int) -> dict[str, np.ndarray]:
     return w
 
 
-def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of a batch, by backpropagation through both directions."""
+def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np.ndarray], rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradients of a batch, by backpropagation through both directions. With ``rng`` some words, and more whole lines, are made unknown."""
     f = Features(pages)
+    if rng is not None:
+        unknown = rng.random(len(f.words)) < UNKNOWN_WORDS
+        unknown[f.wat] = rng.random(len(f.wat)) < UNKNOWN_LINES
+        f.words[unknown] = rng.integers(0, WORDS, unknown.sum())
     x = Labeller(w).inputs(f)
     y = np.concatenate(labels)[:, None]
     steps, rows, n = int(f.sizes.max()), len(pages), len(x)
@@ -199,14 +209,15 @@ def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np
     return loss, g
 
 
-def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 6, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
+def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 12, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
     """Weights after some epochs. Every tenth host is held out, and accuracy on it is said."""
     teacher, rng = Teacher(pages), np.random.default_rng(seed)
     own, held = [], []
     for n, (url, lines) in enumerate(pages):
         if lines and (y := teacher.labels(n, url, lines)) is not None:
             h = (host(url) if url else None) or ""
-            (held if sum(map(ord, h)) % hold == 0 else own).append((lines, container(lines), y))
+            to = held if sum(map(ord, h)) % hold == 0 else own
+            to += [(lines, container(lines), y)] * (1 if to is held or y.any() else RARE)
     say(f"{len(own)} pages to train on, {len(held)} held out, of {len(pages)}")
     w = start(seed)
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
@@ -220,7 +231,7 @@ def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 6, batch: in
             for i in range(0, len(group), batch):
                 some = [own[k] for k in group[i : i + batch]]
                 views = [disguise(x, at, int(rng.choice(5, p=[0.3, 0.15, 0.25, 0.15, 0.15])), rng) for x, at, _ in some]
-                loss, g = gradients(w, views, [y for _, _, y in some])
+                loss, g = gradients(w, views, [y for _, _, y in some], rng)
                 step += 1
                 now = rate * min(1, step / 50) * (0.5 + 0.5 * np.cos(np.pi * min(1, step / total)))
                 for k in w:
@@ -233,8 +244,8 @@ def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 6, batch: in
         say(f"epoch {epoch + 1}: loss {np.mean(losses):.4f}")
     for how in range(5):
         views = [disguise(x, at, how, rng) for x, at, _ in held]
-        wrong = sum(int(((p > 0.5) != (y > 0.5)).sum()) for p, (_, _, y) in zip(Labeller(w).chances(views), held, strict=True))
-        say(f"held-out hosts, disguise {how}: {1 - wrong / max(1, sum(len(x) for x, _, _ in held)):.4f} of the lines right")
+        wrong = [int(((p > 0.5) != (y > 0.5)).sum()) for p, (_, _, y) in zip(Labeller(w).chances(views), held, strict=True)]
+        say(f"held-out hosts, disguise {how}: {1 - sum(wrong) / max(1, sum(len(x) for x, _, _ in held)):.4f} of the lines right, {wrong.count(0) / max(1, len(held)):.3f} of the pages throughout")
     return w
 
 
