@@ -209,7 +209,7 @@ def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np
     return loss, g
 
 
-def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 12, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
+def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 24, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
     """Weights after some epochs. Every tenth host is held out, and accuracy on it is said."""
     teacher, rng = Teacher(pages), np.random.default_rng(seed)
     own, held = [], []
