@@ -175,6 +175,7 @@ LEGACY = [
 ]
 TWO = re.compile("[\x80-\u036f\u2000-\u2bff][^\x00-\x7f]")  # UTF-8 takes two bytes at least, the first of them a sign or a Latin letter in those below
 SURE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")  # no word of any language decodes strictly from these by chance
+PLAINEST = ("cp1252", "latin-1")
 OUTER = "“”„«»‘’‹›…–—()[]{}<>\"'.,;:!?"
 
 
@@ -205,6 +206,8 @@ def as_utf8(token: str) -> str:
                 continue
             whole = token.replace(core, new, 1)
             cost = token_cost(whole)
+            if read in PLAINEST and len(core) - len(new) > 1:
+                return whole  # two characters or more that decode strictly are no chance, whatever the next layer looks like
             if cost < least or (best == token and cost <= least and read in SURE):
                 best, least = whole, cost
         if best != token:
@@ -230,6 +233,8 @@ LEAST_GAIN = 1.5
 def _quoted(tokens: list[str], at: int, right: str) -> bool:
     """Does the right form stand near the garbled one? Then the text tells of the garbling."""
     core = right.strip(OUTER)
+    if sum(map(str.isalpha, core)) < 2:
+        return False
     return any(t.strip(OUTER) == core for t in tokens[max(0, at - NEAR) : at + NEAR + 1])
 
 
