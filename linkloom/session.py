@@ -55,11 +55,11 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(2 * least)
 
 
-def parts_for(df: DataFrame) -> int:
-    """Partitions for a shuffle of all rows of a frame read from files: as many as it is read in, so that tasks stay as small as the reader's at any
-    size, and no fewer than the session's; the session's alone for a frame behind a shuffle.
+def parts_for(df: DataFrame, inputs: int = 4) -> int:
+    """Partitions for a shuffle of all rows of a frame read from files: one for so many that it is read in, so that tasks keep their size at any
+    size of the input, and no fewer than the session's; the session's alone for a frame behind a shuffle. More would compress worse.
     """
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return usual
-    return max(usual, df.rdd.getNumPartitions())
+    return max(usual, df.rdd.getNumPartitions() // inputs)
