@@ -13,6 +13,7 @@ from linkloom.plans import sql
 from linkloom.session import written
 from linkloom.sources import pages as pg
 from linkloom.sources import sinks
+from linkloom.streaming import pages as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -375,3 +376,26 @@ def document_report(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN (VALUES {", ".join(f"({sql.lit(k)}, {sql.lit(v)})" for k, v in reports.PLACES.items())}) p(status, place) ON r.status = p.status GROUP BY 1, 2""")
 def report_routing(spark: SparkSession, d: str) -> DataFrame:
     return reports.routing(table(spark, d, "report"))
+
+
+# ---------------------------------------------------------------- streams (a pattern as path, as a table may be one file)
+
+
+@query(SQL["in_domain_filter"])
+def stream_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links inside the sites, taken as pages arrive, and counted."""
+    found = streams.to_table(streams.edges(streams.read_pages(spark, f"{d}/page[s].parquet")))
+    return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT term, url, count(*) AS n FROM (SELECT {sql.canon('url')} AS url, unnest({sql.tokens(sql.html_to_text('html'))}) AS term FROM pages WHERE url IS NOT NULL AND html IS NOT NULL) GROUP BY 1, 2")
+def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of all fetches of each address, kept up to date as pages arrive."""
+    return streams.to_table(streams.term_counts(streams.read_pages(spark, f"{d}/page[s].parquet")), "complete")
+
+
+@query()
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """Crawl events by hour of their own time; windows that the watermark has not passed are not out yet."""
+    rows = spark.readStream.schema("status string, seq bigint, url string, message string, reported_at timestamp, arrived_at timestamp").parquet(f"{d}/repor[t].parquet")
+    return streams.to_table(streams.events_by_window(rows))

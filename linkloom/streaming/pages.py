@@ -36,3 +36,25 @@ def events_by_window(report: DataFrame, wide: str = "1 hour", late: str = "1 hou
     """(start, status, events) of crawl events by window of their own time, in append mode; later rows are dropped."""
     rows = report.where("status is not null and reported_at is not null").withWatermark("reported_at", late)
     return rows.groupBy(F.window("reported_at", wide), "status").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "status", "events")
+
+
+def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, and gives its result as a table in the shared checkpoint folder.
+
+    append: rows go to the table as they come, each once. complete: the last full result counts.
+    """
+    from uuid import uuid4
+
+    from linkloom.session import WRITTEN, use_checkpoints
+
+    spark = stream.sparkSession
+    use_checkpoints(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
+    WRITTEN.append(base)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        run = out.format("parquet").start(f"{base}/rows")
+    else:
+        run = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
