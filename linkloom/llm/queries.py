@@ -38,14 +38,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its class and its number of similar pages."""
     pairs, members = near_copies.near_copies(page_features(spark, d), 0.5)
-    return near_copies.groups(pairs, members).select(F.col("key").alias("page_id"), F.col("group").alias("class_id"), "links")
+    found = near_copies.with_single(near_copies.groups(pairs, members), table(spark, d, "pages"), "page_id")
+    return found.select(F.col("key").alias("page_id"), F.col("group").alias("class_id"), "links")
 
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     """Near copies among documents.text: five words, 0.8."""
-    pairs, members = near_copies.near_copies(near_copies.text_features(table(spark, d, "documents"), "doc_id", "text"), 0.8)
-    return near_copies.groups(pairs, members).select(F.col("key").alias("doc_id"), F.col("group").alias("class_id"), "links")
+    documents = table(spark, d, "documents")
+    pairs, members = near_copies.near_copies(near_copies.text_features(documents, "doc_id", "text"), 0.8)
+    return near_copies.with_single(near_copies.groups(pairs, members), documents, "doc_id").select(F.col("key").alias("doc_id"), F.col("group").alias("class_id"), "links")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
