@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.session import spread, written
 
 
 def acceptable(content_type: Column) -> Column:
@@ -18,9 +19,22 @@ def acceptable(content_type: Column) -> Column:
 
 
 def first_fetch(pages: DataFrame) -> DataFrame:
-    """(url, page_id, html): of all fetches of one address, under any spelling, that with the least page_id. Null addresses drop out."""
-    keyed = pages.where("url is not null").select(urls.canonical(F.col("url")).alias("url"), "page_id", "html")
-    return keyed.groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("x")).select("url", "x.page_id", "x.html")
+    """(url, page_id, html): of all fetches of one address, under any spelling, that with the least page_id. Null addresses drop out.
+
+    Addresses fetched more than once are found from addresses and numbers alone and written, as they are few; the pages then meet
+    them in one join, which takes no shuffle of the pages while that table is small enough to be sent along (the engine checks its size).
+    Rows that repeat a page_id of an address count once, null ones last.
+    """
+    keyed = spread(pages.where("url is not null").select("url", "page_id", "html")).select(urls.fenced(urls.canonical(F.col("url"))).alias("url"), "page_id", "html")
+    several = keyed.groupBy("url").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"), F.countDistinct("page_id").alias("numbers")).where("rows > 1")
+    several = written(several.select("url", "first", (F.col("numbers") < F.col("rows")).alias("tied")))
+    met = keyed.join(several, "url", "left")
+    once = met.where("tied is null or (not tied and page_id = first)").select("url", "page_id", "html")
+    tied = several.where("tied").select("url")
+    if tied.isEmpty():
+        return once
+    again = keyed.join(tied, "url", "left_semi").groupBy("url").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "html")).alias("x"))
+    return once.unionByName(again.select("url", "x.page_id", "x.html"))
 
 
 def fetch_snapshot(wanted: DataFrame, pages: DataFrame) -> DataFrame:

@@ -50,6 +50,8 @@ def test_counts_and_vocabulary(spark, rows):
 def test_first_fetch(spark, rows):
     pages = spark.createDataFrame([(2, "http://A/x", "two"), (1, "http://a/x#y", "one"), (3, None, "three")], "page_id long, url string, html string")
     assert rows(pg.first_fetch(pages)) == [("http://a/x", 1, "one")]
+    more = pages.unionByName(spark.createDataFrame([(1, "http://A/x", "one"), (None, "http://a/x", "zero"), (None, "http://b/", "n"), (None, "http://b/", "m"), (5, "http://c/", None)], pages.schema))
+    assert rows(pg.first_fetch(more)) == [("http://a/x", 1, "one"), ("http://b/", None, "m"), ("http://c/", 5, None)]
     wanted = spark.createDataFrame([("http://a/x",), ("http://a/z",), (None,)], "url string")
     assert rows(pg.fetch_snapshot(wanted, pages)) == [("http://a/x", 1, True), ("http://a/z", None, False)]
 
