@@ -33,8 +33,6 @@ def disposition(links: DataFrame, invalid: DataFrame, rules: DataFrame, match: s
     """
     bad = invalid.where("url is not null").select(urls.canonical(F.col("url")).alias("target")).distinct().withColumn("failed", F.lit(True))
     inside = urls.is_base_of(F.concat(urls.root_of(F.col("page")), F.lit("/")), F.col("target"))
-    targets = links.where("target is not null").select("target").distinct().withColumn("host", urls.host_of(F.col("target")))
-    forbidden = targets.join(rules, "host").where(rb.forbids(F.col("prefix"), F.col("target"), match)).select("target").distinct().withColumn("forbidden", F.lit(True))
     kind = (
         F.when(urls.cut(F.col("href")).rlike("(?i)^file:"), "file")
         .when(F.col("target").isNull(), "malformed")
@@ -43,13 +41,11 @@ def disposition(links: DataFrame, invalid: DataFrame, rules: DataFrame, match: s
         .when(F.col("forbidden"), "disallowed")
         .otherwise("admitted")
     )
-    return links.join(bad, "target", "left").join(forbidden, "target", "left").select(*links.columns, kind.alias("disposition"))
+    return rb.with_forbidden(links, "target", rules, match).join(bad, "target", "left").select(*links.columns, kind.alias("disposition"))
 
 
 def admitted(edges: DataFrame, invalid: DataFrame, rules: DataFrame, match: str = "base_of") -> DataFrame:
     """(src, dst): edges whose target is known, did not fail and is not forbidden. Repeated edges stay."""
     e = spread(edges.select("src", "dst")).where("src is not null and dst is not null").select(urls.canonical(F.col("src")).alias("src"), urls.fenced(urls.canonical(F.col("dst"))).alias("dst"))
     bad = invalid.where("url is not null").select(urls.canonical(F.col("url")).alias("dst"))
-    e = e.join(bad, "dst", "left_anti").withColumn("host", urls.host_of(F.col("dst")))
-    r = rules.select(F.col("host").alias("h"), "prefix")
-    return e.join(r, (F.col("host") == F.col("h")) & rb.forbids(F.col("prefix"), F.col("dst"), match), "left_anti").select("src", "dst")
+    return rb.with_forbidden(e.join(bad, "dst", "left_anti"), "dst", rules, match).where("not forbidden").select("src", "dst")

@@ -28,11 +28,26 @@ def rules(robots: DataFrame, host: str = "host", body: str = "body") -> DataFram
     return found.select(F.lower(F.col(host)).alias("host"), F.explode(F.aggregate(lines, start, step)["out"]).alias("prefix")).distinct()
 
 
-def forbids(prefix: Column, url: Column, match: str = "base_of") -> Column:
-    """Does a rule forbid the canonical address? base_of: all below the rule's directory, so that a rule without a last slash forbids the directory that holds it. prefix: paths that begin with it."""
-    path = F.coalesce(F.nullif(F.regexp_extract(url, urls.ABSOLUTE, 3), F.lit("")), F.lit("/"))
-    if match == "base_of":
-        return F.startswith(path, urls.base_dir(prefix))
-    if match == "prefix":
-        return F.startswith(path, prefix)
-    raise ValueError(f"match {match!r}")
+def path_of(url: Column) -> Column:
+    """The path of a canonical address, / where it has none."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, urls.ABSOLUTE, 3), F.lit("")), F.lit("/"))
+
+
+def by_host(rules: DataFrame, match: str = "base_of") -> DataFrame:
+    """(host, barred): the beginnings of paths that a site forbids, as many as its robots.txt has.
+
+    base_of: all below the rule's directory, so that a rule without a last slash forbids the directory that holds it. prefix: paths that begin with the rule.
+    """
+    if match not in ("base_of", "prefix"):
+        raise ValueError(f"match {match!r}")
+    begin = urls.base_dir(F.col("prefix")) if match == "base_of" else F.col("prefix")
+    return rules.groupBy("host").agg(F.collect_set(begin).alias("barred"))
+
+
+def with_forbidden(links: DataFrame, target: str, rules: DataFrame, match: str = "base_of") -> DataFrame:
+    """Adds ``forbidden``: is the canonical address barred by its site's rules? One join by host; null targets are not."""
+    kept = links.columns
+    rows = links.withColumn("_host", urls.host_of(F.col(target))).select("*", urls.fenced(path_of(F.col(target))).alias("_path"))
+    barred = by_host(rules, match).withColumnRenamed("host", "_host")
+    hit = F.exists("barred", lambda begin: F.startswith(F.col("_path"), begin))
+    return rows.join(barred, "_host", "left").select(*kept, F.coalesce(hit, F.lit(False)).alias("forbidden"))
