@@ -45,44 +45,40 @@ def _put(p: str, z: int, value: Column, topics: int) -> Column:
     return F.array(*(value if k == z else F.get(p, F.lit(k)) for k in range(topics)))
 
 
-def _weights(counts: DataFrame, m: Model, by: str, topics: list[int]) -> DataFrame:
-    """By term or url, for each topic: sum of n times the other side's chance over the chance of the pair."""
-    other = "url" if by == "term" else "term"
-    w, d = m.terms.withColumnRenamed("p", "w"), m.documents.withColumnRenamed("p", "d")
-    both = counts.join(w, "term").join(d, "url")
-    mixed = sum((F.get("w", F.lit(k)) * F.get("d", F.lit(k)) for k in range(m.topics)), F.lit(0.0))
-    side = "d" if other == "url" else "w"
-    part = both.withColumn("r", F.when(mixed > 0, F.col("n") / mixed).otherwise(0.0))
-    return part.groupBy(by).agg(*(F.sum(F.col("r") * F.get(side, F.lit(z))).alias(f"t{z}") for z in topics))
+def _half(counts: DataFrame, own: DataFrame, other: DataFrame, key: str, topics: int, update: str, scale: bool) -> DataFrame:
+    """New values of ``own`` (key, p), given the other side: each p of a topic times the sum of n * other's p / chance of the pair.
+
+    The other side is joined to the counts once; a topic then takes one join and one aggregation on the same key. With ``scale`` each topic is made to
+    add up to 1 over the rows before the next, by sums of which one number a topic comes to the driver.
+    """
+    far = "url" if key == "term" else "term"
+    fixed = written(counts.join(other.withColumnRenamed("p", "q"), far).select(key, "n", "q"))
+    for some in [[z] for z in range(topics)] if update == "sequential" else [list(range(topics))]:
+        both = fixed.join(own, key)
+        mixed = sum((F.get("p", F.lit(k)) * F.get("q", F.lit(k)) for k in range(topics)), F.lit(0.0))
+        part = both.withColumn("r", F.when(mixed > 0, F.col("n") / mixed).otherwise(0.0))
+        new = part.groupBy(key).agg(F.first("p").alias("p"), *(F.sum(F.col("r") * F.get("q", F.lit(z))).alias(f"t{z}") for z in some))
+        for z in some:
+            new = new.withColumn("p", _put("p", z, F.get("p", F.lit(z)) * F.col(f"t{z}"), topics))
+        own = written(new.select(key, "p"))
+        if scale:
+            total = own.agg(*(F.sum(F.get("p", F.lit(z))) for z in some)).first()
+            for z, t in zip(some, total, strict=True):
+                own = own.withColumn("p", _put("p", z, F.get("p", F.lit(z)) / F.lit(t) if t else F.lit(0.0), topics))
+    return own
 
 
 def step_terms(counts: DataFrame, m: Model, update: str = "sequential") -> Model:
     """New P(w|z), each topic adding up to 1 over the terms."""
-    todo = [[z] for z in range(m.topics)] if update == "sequential" else [list(range(m.topics))]
-    for some in todo:
-        new = m.terms.join(_weights(counts, m, "term", some), "term")
-        for z in some:
-            new = new.withColumn("p", _put("p", z, F.get("p", F.lit(z)) * F.col(f"t{z}"), m.topics))
-        new = written(new.select("term", "p"))
-        total = new.agg(*(F.sum(F.get("p", F.lit(z))).alias(f"s{z}") for z in some))  # one row
-        scaled = new.join(F.broadcast(total))
-        for z in some:
-            scaled = scaled.withColumn("p", _put("p", z, F.when(F.col(f"s{z}") > 0, F.get("p", F.lit(z)) / F.col(f"s{z}")).otherwise(0.0), m.topics))
-        m = Model(written(scaled.select("term", "p")), m.documents, m.topics)
-    return m
+    return Model(_half(counts, m.terms, m.documents, "term", m.topics, update, True), m.documents, m.topics)
 
 
 def step_documents(counts: DataFrame, m: Model, update: str = "sequential") -> Model:
     """New P(z|d), each document adding up to 1 over the topics at the end."""
-    todo = [[z] for z in range(m.topics)] if update == "sequential" else [list(range(m.topics))]
-    for some in todo:
-        new = m.documents.join(_weights(counts, m, "url", some), "url")
-        for z in some:
-            new = new.withColumn("p", _put("p", z, F.get("p", F.lit(z)) * F.col(f"t{z}"), m.topics))
-        m = Model(m.terms, written(new.select("url", "p")), m.topics)
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    done = m.documents.withColumn("total", total).select("url", F.transform("p", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(0.0)).alias("p"))
-    return Model(m.terms, written(done), m.topics)
+    new = _half(counts, m.documents, m.terms, "url", m.topics, update, False)
+    done = new.withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    done = done.select("url", F.transform("p", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(0.0)).alias("p"))
+    return Model(m.terms, done, m.topics)
 
 
 def fit(counts: DataFrame, topics: int = 3, iterations: int = 1, update: str = "sequential", tol: float | None = None) -> Model:
