@@ -4,7 +4,9 @@ A text is parted at blanks into tokens, and each distinct token that is not plai
 holds together, signs inside words, control characters, capitals amid small letters, lost characters. For a garbled text, candidates
 (the encoding it was read in, the encoding it was written in) re-encode each token and strictly decode it; a token
 takes the result where its cost drops. The candidate that takes most cost off the whole text is kept, and the search repeats on the
-outcome for further layers. What is left of lost characters can't be restored, but still names the text.
+outcome for further layers. A candidate that takes off little turns only tokens that tell for themselves: the outcome is a usual word in
+the alphabet of its line or text, and what was turned is more than a sign that writers set at words (footnote marks, times, micro).
+What is left of lost characters can't be restored, but still names the text.
 """
 
 from __future__ import annotations
@@ -227,7 +229,12 @@ def gain(token: str, read: str, written: str) -> tuple[float, str]:
 
 LAYERS = 4
 NEAR = 5  # tokens to either side in which a quoted garbling is told beside its right form
-LEAST_GAIN = 1.5
+LEAST_GAIN = 1.5  # from here the sum over a text is evidence; below, tokens must tell for themselves
+MARKS = "†‡¹²³§¶°±×÷µ©®™"
+POLISH, SPANISH = frozenset(ALPHABETS["polish"]), frozenset("áéíñóúü")
+WITHIN = str.maketrans("µ×÷", "uxx")
+HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+INSIDE = re.compile(r"[^\W\d_][^\x00-\x7f][^\W\d_]")
 
 
 def _quoted(tokens: list[str], at: int, right: str) -> bool:
@@ -238,6 +245,48 @@ def _quoted(tokens: list[str], at: int, right: str) -> bool:
     return any(t.strip(OUTER) == core for t in tokens[max(0, at - NEAR) : at + NEAR + 1])
 
 
+def _letters(token: str) -> frozenset[str]:
+    return frozenset(c for c in token.lower() if c > "\x7f" and c.isalpha())
+
+
+@lru_cache(1 << 16)
+def _tells(token: str, new: str) -> bool:
+    """Is the outcome a usual word, and the token no such word with a sign that writers set there?"""
+    if token_cost(new) or not token_cost(token.strip(MARKS + OUTER).translate(WITHIN)):
+        return False
+    if sum(map(_rare_han, filter(HAN.match, token))) == 1:
+        return False  # names hold rare characters
+    if (own := _letters(token)) and own <= SLAVIC and all(w[1:].islower() or w.isupper() or len(w) == 1 for w in LETTERS.findall(token)):
+        return False  # languages with letters beside the Russian
+    words = [w for w in LETTERS.findall(new) if not w.isascii()]
+    return bool(words) and not set("ªº").intersection(new) and all(HAN.match(w) or len(w) > 2 and (w.islower() or w[1:].islower() or w.isupper()) for w in words)
+
+
+def _fits(new: str, others: list[frozenset[str]]) -> bool:
+    """Do most of the other words share an alphabet with the outcome?"""
+    own = _letters(new)
+    if any(map(HAN.match, own)):
+        return 2 * sum(any(map(HAN.match, x)) for x in others) > len(others)
+    return any(3 * sum(x <= s for x in others) >= 2 * len(others) for s in (*SETS, RUSSIAN, GREEK) if own <= s)
+
+
+def _telling(turned: dict[str, str], pair: tuple[str, str], tokens: list[str], many: dict[str, list[int]], text: str) -> dict[str, str]:
+    """Those of the turned tokens that tell for themselves: of their line's alphabet, or of the text's, as it stands or turned by the same pair;
+    where no other word has letters beyond a-z, of any alphabet, if letters stand on either side of what was turned.
+    """
+    out = {t: new for t, new in turned.items() if _tells(t, new) and not all(_quoted(tokens, k, new) for k in many[t])}
+    if not out:
+        return out
+    near = lambda some: [x for t in some if t not in turned and not token_cost(t) and (x := _letters(t))]
+    everywhere = near(many)
+    if any(x - POLISH for x in everywhere) and all(x <= SPANISH for x in everywhere):
+        out = {t: new for t, new in out.items() if token_cost(re.sub("[¿¡]", " ", t))}  # a question without a blank before it
+    after = [_letters(recode(t, *pair) or t) for t in many if t not in turned and not token_cost(t) and _letters(t)]
+    lines = [set(TOKEN.findall(line)) for line in text.split("\n")] if everywhere else []
+    fit = lambda t, new: _fits(new, everywhere) or _fits(new, after) or any(_fits(new, x) for line in lines if t in line and (x := near(line)))
+    return {t: new for t, new in out.items() if (fit(t, new) if everywhere else INSIDE.search(t) and any(_letters(new) <= s for s in (*SETS, RUSSIAN, GREEK)))}
+
+
 def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
     """Of one layer of garbling: tokens whose cost drops, with what they were; tokens that the same candidate turns at no cost; and
     whether most of the text is garbled so.
@@ -254,9 +303,9 @@ def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
     costly = [t for t in many if token_cost(t) > 0 and "\ufffd" not in t]
     rest = sum([token_cost(t) * len(many[t]) for t in costly if t not in found])
     taken = sum((token_cost(t) - token_cost(new)) * len(many[t]) for t, new in found.items())
-    if rest < LEAST_GAIN or found and rest <= taken:
+    if not rest or found and (rest <= taken or rest < LEAST_GAIN):
         return found, {}, False
-    best, chosen, out = taken, None, found
+    best, chosen, out, sure = taken, None, found, True
     for read, written in LEGACY:
         total, new = 0.0, {}
         for t in costly:
@@ -264,12 +313,19 @@ def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
             if drop:
                 total += drop * len(many[t])
                 new[t] = to
-        if total > best + 1e-9 and total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1):
-            best, chosen, out = total, (read, written), new
+        many_tell = total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1)
+        if total > best + 1e-9 and not many_tell:
+            new = _telling(new, (read, written), tokens, many, text)
+            total = sum((token_cost(t) - token_cost(to)) * len(many[t]) for t, to in new.items())
+        if total > best + 1e-9:
+            best, chosen, out, sure = total, (read, written), new, many_tell
     if chosen is None:
         return found, {}, False
     even = {t: new for t in many if t not in out and (new := recode(t, *chosen)) is not None and new != t and token_cost(new) <= token_cost(t)}
-    return out, even, 2 * sum(len(many[t]) for t in out) > sum(map(len, many.values()))
+    if not sure:  # with them only those that their alphabet does not fit as they stand
+        right = [x for new in out.values() if (x := _letters(new))]
+        even = {t: new for t, new in even.items() if not _fits(t, right) and _fits(new, right)}
+    return out, even, sure and 2 * sum(len(many[t]) for t in out) > sum(map(len, many.values()))
 
 
 def _turn(text: str, found: dict[str, str], even: dict[str, str], most: bool) -> str:

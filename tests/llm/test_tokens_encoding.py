@@ -177,6 +177,21 @@ def test_meant_signs_are_no_case(text):
     assert encoding_repair.examine(text) == (False, text, 0, True)
 
 
+@pytest.mark.parametrize(("text", "wanted"), [
+    ("Może to być tak¿e źródło.", "Może to być także źródło."), ("To jest tak¿e dobre miejsce", "To jest także dobre miejsce"), ("Może £ódŸ i źródło", "Może Łódź i źródło"),
+    ("Źródło już jest.\nTo mo¿e byæ", "Źródło już jest.\nTo może być"), ("Bagda jeœli siê m¹ry, byæ œwiw", "Bagda jeśli się mąry, być świw"), ("‰Æ 風と紙の石は、海 と木", "家 風と紙の石は、海 と木"),
+])
+def test_one_garbled_piece(text, wanted):
+    assert encoding_repair.examine(text)[:2] == (text != wanted, wanted)
+
+
+@pytest.mark.parametrize("text", [
+    "Le mot† est déjà là, à côté.", "słowo¹ jest już źródłem", "A×B in naïve cafés", "µmol già così è", "casa¿dónde está el niño según él", "ord† på øya, så", "嘢 我哋 風紙", "Київ це місто, де ці люди", "m³ and 5°C n° 5", "5 µm is naïve",
+])
+def test_one_sign_is_no_case(text):
+    assert encoding_repair.examine(text) == (False, text, 0, True)
+
+
 def test_lost_characters_name_the_text():
     assert encoding_repair.examine("Gr�n and blue") == (True, "Gr�n and blue", 0, False)
 
