@@ -56,8 +56,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of up to three lines that come back within a site."""
-    return site_lines.frequent_sequences(site_lines.line_sequences(table(spark, d, "pages")), longest=3)
+    """Runs of lines of any length that come back within a site."""
+    return site_lines.frequent_runs(site_lines.line_sequences(table(spark, d, "pages")))
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -128,6 +128,20 @@ def test_frequent_sequences_against_search(spark, longest, gap):
     assert {(r["host"], tuple(r["lines"])): r["support"] for r in got.collect()} == frequent(site_data(), longest, gap)
 
 
+def test_runs_of_any_length(spark, tmp_path):
+    footer = [f"footer {c}" for c in "abcdefg"]
+    data = site_data() + [(200 + k, f"http://c.example/{k}", html([f"own {c}" for c in "xyz"[: k % 3]] + footer)) for k in range(6)]
+    data += [(200, "http://c.example/0", html(["other", *footer[:2]])), data[-1]]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    wanted = frequent(data, 99, 0)
+    assert ("c.example", tuple(line_key(x) for x in footer)) in wanted
+    from linkloom.llm import queries
+
+    for got in (queries.p4_sequences(spark, str(tmp_path)), site_lines.frequent_sequences(site_lines.line_sequences(df), longest=None)):
+        assert sorted((r["host"], tuple(r["lines"]), r["support"]) for r in got.collect()) == sorted((*k, n) for k, n in wanted.items())
+
+
 def test_without_repeats(spark):
     data = site_data()
     often = {(h, p[0]) for h, p in frequent(data, 1, 0)}
