@@ -19,7 +19,7 @@ from linkloom.llm.stuffing import is_stuffed, profile
 
 CHANCE = 0.5
 WORD = re.compile(r"[^\W_]+")
-MEASURES = ("words", "bare_share", "link_share", "function_share", "near_share", "regularity", "autocorrelation", "distinct_share")
+MEASURES = ("words", "bare_share", "link_share", "function_share", "near_share", "regularity", "autocorrelation", "distinct_share", "all_recurrences", "all_distinct_share", "all_near_share", "all_regularity", "all_autocorrelation")
 
 
 def read_pages(pages: list[str | None], chance: float = CHANCE, every: bool = False) -> list[tuple[list, list[int], dict[str, float], bool]]:

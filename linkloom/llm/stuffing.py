@@ -4,6 +4,9 @@ Of the words of a page's own content, those in sentences are told from those tha
 hold function words; bare words are links, tags, places after a term, or search words in a row. Bare words count as
 stuffing where the term sequence shows it: terms that recur at short or regular gaps, positions that agree with those a
 fixed lag before them (autocorrelation over a window of lags), long runs of names without function words, or links.
+
+The same is measured over all words of the own content but function words and numbers, in sentences or not, and decides by itself:
+stuffing can be written in sentences.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from linkloom.llm.pages import Line
+from linkloom.llm.pages import Line, line_key
 
 # Function words of common languages.
 FUNCTION = frozenset(
@@ -46,6 +49,8 @@ WORD = re.compile(r"[^\W_]+")
 PART = re.compile(r"(?<=[.!?…])[\"”»’']*\s+|\s[–—|]\s")
 END = re.compile(r"[.!?…][\"”»’')]*$")
 LAGS = 64
+# Shares of all words that recur. On the 5,660 pages of sf0.1 that are no cases they are 0.30 at most, the autocorrelation 0.11 at most.
+SOME, MOST = 0.3, 0.5
 
 
 def gaps(terms: np.ndarray) -> tuple[float, float]:
@@ -70,11 +75,25 @@ def autocorrelation(terms: np.ndarray) -> float:
     return max(float((terms[lag:] == terms[:-lag]).mean()) for lag in range(1, min(LAGS, n // 2) + 1)) - chance
 
 
+def content_terms(texts: Sequence[str]) -> np.ndarray:
+    """All words but function words and numbers, as numbers by word. A line that comes back, but for its digits, counts once, unless it repeats words itself."""
+    number: dict[str, int] = {}
+    seen: set[str] = set()
+    out: list[int] = []
+    for text in texts:
+        text = line_key(text)
+        line = [number.setdefault(w, len(number)) for w in WORD.findall(text) if w not in FUNCTION and not w.isdigit()]
+        if text not in seen or gaps(np.array(line, dtype=np.int64))[0] > 0.2:
+            out += line
+        seen.add(text)
+    return np.array(out, dtype=np.int64)
+
+
 def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
     """Measures of the own content of a page; its heading, the first line, is left out. Without words all are 0.
 
-    Unless ``every`` is set, the measures of the sequence are left out where half of the words or more stand in sentences, as they can't
-    change the outcome there.
+    Unless ``every`` is set, the measures of the bare sequence are left out where half of the words or more stand in sentences, and the
+    autocorrelation of all words where few recur, as they can't change the outcome there.
     """
     bare: list[str] = []
     total = words_bare = words_linked = function = 0
@@ -101,17 +120,26 @@ def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
     number: dict[str, int] = {}
     terms = np.array([number.setdefault(w, len(number)) for w in bare], dtype=np.int64)
     near, regular = gaps(terms)
+    content = content_terms([line.text for line in own[1:]])
+    all_near, all_regular = gaps(content)
     return {
         "words": float(total), "bare_share": words_bare / max(1, total), "link_share": words_linked / max(1, words_bare),
         "function_share": function / max(1, words_bare), "near_share": near, "regularity": regular,
         "autocorrelation": autocorrelation(terms), "distinct_share": len(number) / max(1, words_bare),
+        "all_recurrences": float(round(all_near * len(content))), "all_distinct_share": len(np.unique(content)) / max(1, len(content)), "all_near_share": all_near, "all_regularity": all_regular,
+        "all_autocorrelation": autocorrelation(content) if every or all_near > SOME else 0.0,
     }
 
 
 def is_stuffed(p: dict[str, float]) -> bool:
-    """More than half of the words bare, and their sequence that of stuffing: recurrent, regular, names in a row, or links."""
-    if p["words"] < 12 or p["bare_share"] <= 0.5:
+    """All words recurrent, or many of them so and regularly; or more than half of the words bare, and their sequence that of stuffing: recurrent,
+    names in a row, or links. Names in a row tell nothing in fewer than 12 words.
+    """
+    often = p["all_recurrences"] >= 6 and p["all_distinct_share"] < 0.25  # an article may come back to a phrase; here words come four times and more
+    if often and (p["all_near_share"] > MOST or p["all_near_share"] > SOME and (p["all_regularity"] > 0.8 or p["all_autocorrelation"] > 0.25)):
+        return True
+    if p["bare_share"] <= 0.5:
         return False
     recurrent = p["near_share"] > 0.25 or p["autocorrelation"] > 0.12
-    names = p["function_share"] < 0.12
+    names = p["function_share"] < 0.12 and p["words"] >= 12
     return recurrent or names or p["link_share"] > 0.5

@@ -150,6 +150,19 @@ def test_stuffing():
     assert not is_stuffed(profile([]))
 
 
+def test_stuffing_in_sentences():
+    line = "Cheap flights to Rome, hotels in Rome for the family, best of Rome."
+    alike = [f"Cheap {a} to {c}, {b} in {c} for the family, best of {c}." for c in ("Rome", "Paris") for a in ("flights", "trips", "tours") for b in ("hotels", "rooms", "beds")]
+    for lines in ([line] * 20, alike):
+        measured = profile(own(*lines), every=False)
+        assert measured["bare_share"] == 0
+        assert is_stuffed(measured)
+    # few words
+    assert is_stuffed(profile(own("tin bowl, buy tin bowl, cheap tin bowl")))
+    assert not is_stuffed(profile(own("Closed until further notice")))
+    assert not is_stuffed(profile(own("The cat saw the cat.")))
+
+
 def test_half_and_half():
     sentence = "It is the place where the dome of the village was built before the river moved away."
     few = own(sentence, sentence, "tin bowl cheap tin bowl best tin bowl")
