@@ -23,6 +23,15 @@ def vocabulary(counts: DataFrame, key: str = "url") -> DataFrame:
     return counts.agg(F.countDistinct("term").alias("terms"), F.countDistinct(key).alias("documents"), F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
 
 
+def matrix(counts: DataFrame, key: str = "url") -> DataFrame:
+    """The dense matrix of all terms and all documents, one sparse vector a document: (key, length, terms, n). ``length`` is the number of all
+    terms, those not in ``terms`` are 0. A row is as large as its document; ``counts`` has one row for a term and document.
+    """
+    length = counts.agg(F.countDistinct("term").alias("length"))
+    at = F.sort_array(F.collect_list(F.struct("term", "n"))).alias("at")
+    return counts.groupBy(key).agg(at).crossJoin(F.broadcast(length)).select(key, "length", F.col("at.term").alias("terms"), F.col("at.n").alias("n"))
+
+
 def dense(counts: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
     """(term, key, n) for each of the given terms and every document that has any term, 0 where it lacks it. As large as its task."""
     documents = counts.select(key).distinct()

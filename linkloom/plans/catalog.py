@@ -141,6 +141,12 @@ def term_doc_dense(spark: SparkSession, d: str) -> DataFrame:
     return terms.dense(counts, top)
 
 
+@query()
+def term_doc_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The dense matrix of all terms and all pages, one sparse vector a page; ``term_doc_dense`` has only the most frequent terms."""
+    return terms.matrix(written(page_terms(spark, d)))
+
+
 @query(f"WITH {sql.PAGE_TERMS} SELECT count(DISTINCT term) AS terms, count(DISTINCT url) AS documents, count(*) AS pairs, sum(n)::BIGINT AS tokens FROM page_terms")
 def vocabulary_stats(spark: SparkSession, d: str) -> DataFrame:
     return terms.vocabulary(page_terms(spark, d))

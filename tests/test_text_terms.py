@@ -44,6 +44,7 @@ def test_counts_and_vocabulary(spark, rows):
     assert rows(counts, "term", "url", "n") == [("a", "u", 2), ("b", "u", 2), ("c", "v", 1)]
     assert rows(terms.vocabulary(counts)) == [(3, 2, 3, 5)]
     assert rows(terms.dense(counts, counts.select("term").distinct()), "term", "url", "n") == [("a", "u", 2), ("a", "v", 0), ("b", "u", 2), ("b", "v", 0), ("c", "u", 0), ("c", "v", 1)]
+    assert rows(terms.matrix(counts), "url", "length", "terms", "n") == [("u", 3, ["a", "b"], [2, 2]), ("v", 3, ["c"], [1])]
     assert rows(terms.vocabulary(counts.limit(0))) == [(0, 0, 0, 0)]
 
 
@@ -127,3 +128,13 @@ def test_topic_filter_keeps_ties(spark, rows):
 def test_empty_counts(spark):
     counts = spark.createDataFrame([], "term string, url string, n long")
     assert plsa.fit(counts, 2, 1).terms.count() == 0
+
+
+def test_matrix_has_every_term(spark):
+    from linkloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.queries()["term_doc_matrix"](spark, d).collect()
+    wanted = {(r["term"], r["url"]): r["n"] for r in catalog.queries()["term_doc_counts"](spark, d).collect()}
+    assert {(t, r["url"]): n for r in got for t, n in zip(r["terms"], r["n"], strict=True)} == wanted
+    assert {r["length"] for r in got} == {len({t for t, _ in wanted})}
