@@ -13,16 +13,16 @@ from linkloom.session import written
 Fetcher = Callable[[DataFrame], DataFrame]
 
 
-def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame, known_invalid: DataFrame, match: str = "base_of", deepest: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def crawl(seeds: DataFrame, fetch: Fetcher, rules: DataFrame, known_invalid: DataFrame, match: str = "base_of", deepest: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(visited(url, depth), edges(src, dst), failed(url)).
 
     From the seeds, level by level: fetch, take the links inside the page's site, admit them, and go on with those not
-    yet seen. Each address is fetched once. A failed fetch (null html) gives no edge and no page. An edge is one link
+    yet seen, until there is none, or to the depth ``deepest`` where it is given. Each address is fetched once. A failed fetch (null html) gives no edge and no page. An edge is one link
     occurrence whose target was fetched. Seeds are not held against the rules. ``fetch`` maps (url) to (url, html).
     """
     frontier = written(seeds.select("url").where("url is not null").distinct())
     seen, visited, links, failed, depth = frontier, None, None, None, 0
-    while depth <= deepest and not frontier.isEmpty():
+    while (deepest is None or depth <= deepest) and not frontier.isEmpty():
         got = written(fetch(frontier))
         good = got.where("html is not null").select("url", F.lit(depth).alias("depth"))
         bad = got.where("html is null").select("url")

@@ -259,6 +259,12 @@ def graph_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     return paths.distance_summary(pairs, v).withColumn("mean_distance", F.round("mean_distance", PLACES))
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """The first page of each site, by address."""
+    stored = pg.first_fetch(pages.where("html is not null and html <> ''"))
+    return stored.groupBy(urls.host_of(F.col("url"))).agg(F.min("url").alias("url")).select("url")
+
+
 CLOSURE = f"""{sql.RULES}, {sql.BAD}, {sql.FIRST_FETCH}, stored AS (SELECT url, page_id, html FROM (SELECT {sql.canon("url")} AS url, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pages WHERE url IS NOT NULL AND html <> '' GROUP BY 1)),
     seeds AS (SELECT min(url) AS url FROM stored GROUP BY {sql.host("url")}),
     found AS (SELECT url AS page, unnest(regexp_extract_all(html, {sql.lit(text.HREF)}, 1)) AS href FROM stored), l AS (SELECT page AS src, {sql.resolve("href", "page")} AS dst FROM found),
@@ -270,17 +276,14 @@ CLOSURE = f"""{sql.RULES}, {sql.BAD}, {sql.FIRST_FETCH}, stored AS (SELECT url,
 def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
     """From the first page of each site along admitted links, over the stored pages."""
     pages = table(spark, d, "pages")
-    stored = pg.first_fetch(pages.where("html is not null and html <> ''"))
-    seeds = stored.groupBy(urls.host_of(F.col("url"))).agg(F.min("url").alias("url")).select("url")
-    return crawl.closure_of_snapshot(seeds, pages, robots_rules(spark, d), table(spark, d, "invalid"))
+    return crawl.closure_of_snapshot(first_pages(pages), pages, robots_rules(spark, d), table(spark, d, "invalid"))
 
 
 @query()
 def crawl_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Links that a crawl finds, by rounds of fetching, from the page with the most links to stored pages."""
+    """Links that a crawl finds, by rounds of fetching, from the first page of each site."""
     pages = table(spark, d, "pages")
-    seed = site_graph(spark, d)[1].groupBy(F.col("src").alias("url")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "url").limit(1)
-    _, edges, _ = crawl.crawl(seed.select("url"), crawl.snapshot_fetcher(pages), robots_rules(spark, d), table(spark, d, "invalid"))
+    _, edges, _ = crawl.crawl(first_pages(pages), crawl.snapshot_fetcher(pages), robots_rules(spark, d), table(spark, d, "invalid"))
     return graph.multiplicity(edges)
 
 

@@ -123,6 +123,22 @@ def test_crawl(spark, rows):
     assert [x.count() for x in crawl.crawl(seeds.limit(0), crawl.snapshot_fetcher(pages), rules, invalid)] == [0, 0, 0]
 
 
+def test_crawl_of_all_sites(spark, rows):
+    from pyspark.sql import functions as F
+
+    from linkloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    reached = {r["url"] for r in catalog.crawl_closure(spark, d).collect()}
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    found = crawl.lk.in_domain(crawl.lk.resolved(crawl.snapshot_fetcher(pages)(spark.createDataFrame([(u,) for u in sorted(reached)], "url string")).select("url", F.col("url").alias("page_url"), "html"), "url", "page_url"))
+    admitted = crawl.lk.admitted(found.select(F.col("page").alias("src"), F.col("target").alias("dst")), spark.read.parquet(f"{d}/invalid.parquet"), catalog.robots_rules(spark, d))
+    wanted = {(r["src"], r["dst"]) for r in admitted.collect() if r["dst"] in reached}
+    got = {(r["src"], r["dst"]) for r in catalog.crawl_edges(spark, d).collect()}
+    assert got == wanted
+    assert len({u.split("/")[2] for u, _ in got}) > 1
+
+
 def test_reports_and_sinks(spark, rows, tmp_path):
     report = spark.createDataFrame([("UrlProcessed", 1, "u", None), ("UrlProcessed", 1, "u", None), ("UrlProcessed", 2, None, "m"), ("New", 3, "v", None), (None, 4, "w", None)], "status string, seq long, url string, message string")
     assert rows(reports.routing(report)) == [("other", "New", 1, 1, 3, 3), ("urls", "UrlProcessed", 2, 1, 1, 2)]
