@@ -42,9 +42,13 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashed runs of ``width`` words, sorted. Fewer words than that, and null, give none."""
+def shingles(text: str | None, width: int, short: bool = False) -> np.ndarray:
+    """Distinct hashed runs of ``width`` words, sorted. Fewer words than that, and null, give none; with ``short`` fewer words give one run of
+    them all.
+    """
     words = WORD.findall((text or "").lower())
+    if short and words:
+        width = min(width, len(words))
     if len(words) < width:
         return np.zeros(0, np.uint64)
     w = np.array([word_hash(x) for x in words], dtype=np.uint64)
@@ -238,7 +242,7 @@ def with_single(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return every.join(found, "key", "left").select("key", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def text_features(texts: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """Features of plain texts."""
+def text_features(texts: DataFrame, key: str, text: str, width: int = 5, short: bool = False) -> DataFrame:
+    """Features of plain texts; with ``short`` also of those of fewer words than ``width``."""
     rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    return features(rows, lambda x: [shingles(t, width) for t in x["text"]], dict(texts.dtypes)[key])
+    return features(rows, lambda x: [shingles(t, width, short) for t in x["text"]], dict(texts.dtypes)[key])

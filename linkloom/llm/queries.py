@@ -22,11 +22,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.main_lines(table(spark, d, "pages"))
 
 
-def page_features(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of three words of the main bodies."""
+def page_features(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
+    """Runs of three words of the main bodies; with ``short`` those of one or two words are one run."""
 
     def run(x: dict[str, list]) -> list:
-        return [near_copies.shingles("" if bad else " ".join(own[k - 1].text for k in numbers), 3) for own, numbers, _, bad in main_content.read_pages(x["html"])]
+        return [near_copies.shingles("" if bad else " ".join(own[k - 1].text for k in numbers), 3, short) for own, numbers, _, bad in main_content.read_pages(x["html"])]
 
     rows = spread(table(spark, d, "pages").select(F.col("page_id").alias("key"), "html"))
     return near_copies.features(rows, run, "bigint")
@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every page with its class and its number of similar pages."""
-    pairs, members = near_copies.near_copies(page_features(spark, d), 0.5)
+    pairs, members = near_copies.near_copies(page_features(spark, d, short=True), 0.5)
     found = near_copies.with_single(near_copies.groups(pairs, members), table(spark, d, "pages"), "page_id")
     return found.select(F.col("key").alias("page_id"), F.col("group").alias("class_id"), "links")
 
@@ -47,7 +47,7 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     """Near copies among documents.text: five words, 0.8."""
     documents = table(spark, d, "documents")
-    pairs, members = near_copies.near_copies(near_copies.text_features(documents, "doc_id", "text"), 0.8)
+    pairs, members = near_copies.near_copies(near_copies.text_features(documents, "doc_id", "text", short=True), 0.8)
     return near_copies.with_single(near_copies.groups(pairs, members), documents, "doc_id").select(F.col("key").alias("doc_id"), F.col("group").alias("class_id"), "links")
 
 

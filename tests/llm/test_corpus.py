@@ -79,6 +79,15 @@ def test_many_exact_copies_are_one_class(spark):
     assert {(r["group"], r["links"]) for r in near_copies.groups(pairs, members).collect()} == {(0, 3000)}
 
 
+def test_short_texts_meet(spark, tmp_path):
+    from linkloom.llm import queries
+
+    data = [(1, "Two words"), (2, "two  WORDS!"), (3, "other words"), (4, "one two three four"), (5, "one two three four"), (6, "one two three four five"), (7, ""), (8, None), (9, "")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in queries.p3_documents(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 0), 7: (7, 0), 8: (8, 0), 9: (9, 0)}
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "id long, text string")
     pairs, members = near_copies.near_copies(near_copies.text_features(df, "id", "text"), 0.8)
