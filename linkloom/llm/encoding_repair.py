@@ -227,7 +227,6 @@ def gain(token: str, read: str, written: str) -> tuple[float, str]:
     return (drop, new) if drop > 0 else (0.0, token)
 
 
-LAYERS = 4
 NEAR = 5  # tokens to either side in which a quoted garbling is told beside its right form
 LEAST_GAIN = 1.5  # from here the sum over a text is evidence; below, tokens must tell for themselves
 MARKS = "†‡¹²³§¶°±×÷µ©®™"
@@ -342,16 +341,18 @@ def _turn(text: str, found: dict[str, str], even: dict[str, str], most: bool) ->
 def examine(text: str | None) -> tuple[bool, str | None, int, bool]:
     """(garbled, restored text, layers taken off, whole). A text that is no case is given back as it is, with whole true.
 
-    A garbled text is whole when no lost character is left. Null gives null.
+    Layers are taken off until no token's cost drops, or a text comes back. A garbled text is whole when no cost is left, but for signs that
+    writers set at words: lost characters, and pieces that no pair of encodings turns. Null gives null.
     """
     if not text or text.isascii():
         return False, text, 0, True
-    now, layers = text, 0
-    while layers < LAYERS and (step := _repairs(now))[0]:
-        now = _turn(now, *step)
+    now, layers, seen = text, 0, {text}
+    while (step := _repairs(now))[0] and (new := _turn(now, *step)) not in seen:
+        now = new
+        seen.add(now)
         layers += 1
-    lost = "\ufffd" in now
-    return layers > 0 or lost, now, layers, not lost
+    garbled = layers > 0 or "\ufffd" in now
+    return garbled, now, layers, not (garbled and any(token_cost(t.strip(MARKS + OUTER).translate(WITHIN)) for t in TOKEN.findall(now) if not t.isascii()))
 
 
 def repaired(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -192,6 +192,18 @@ def test_one_sign_is_no_case(text):
     assert encoding_repair.examine(text) == (False, text, 0, True)
 
 
+def test_layers_without_bound():
+    text = SAMPLES["fr"]
+    garbled = text
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert encoding_repair.examine(garbled) == (True, text, 6, True)
+
+
+def test_cost_that_is_left_is_not_whole():
+    assert encoding_repair.examine("cafÃ© ᚠab")[::3] == (True, False)
+
+
 def test_lost_characters_name_the_text():
     assert encoding_repair.examine("Gr�n and blue") == (True, "Gr�n and blue", 0, False)
 
