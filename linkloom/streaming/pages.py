@@ -33,7 +33,7 @@ def term_counts(pages: DataFrame) -> DataFrame:
 
 
 def events_by_window(report: DataFrame, wide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(start, status, events) of crawl events by window of their own time, in append mode; later rows are dropped."""
+    """(start, status, events) of crawl events by window of their own time, in append mode; later rows are dropped. Complete mode gives all windows and rows."""
     rows = report.where("status is not null and reported_at is not null").withWatermark("reported_at", late)
     return rows.groupBy(F.window("reported_at", wide), "status").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "status", "events")
 

@@ -37,3 +37,12 @@ def test_late_events_are_dropped(spark, rows, tmp_path):
     stream = spark.readStream.schema("status string, reported_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
     got = rows(run(st.events_by_window(stream), "append", "stream_events", spark), "start", "events")
     assert [n for _, n in got] == [2, 2]
+
+
+def test_all_events_are_given(spark):
+    from linkloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = {(r["start"], r["status"]): r["events"] for r in catalog.stream_events(spark, d).collect()}
+    batch = st.events_by_window(spark.read.parquet(f"{d}/report.parquet"))
+    assert got == {(r["start"], r["status"]): r["events"] for r in batch.collect()}
