@@ -1,12 +1,17 @@
 """Text that was decoded with the wrong character encoding: finding it, and round-trip repair.
 
-A text is parted at blanks into tokens, and each distinct token that is not plain ASCII has a garbling cost: letters that no alphabet
-holds together, signs inside words, control characters, capitals amid small letters, lost characters. For a garbled text, candidates
-(the encoding it was read in, the encoding it was written in) re-encode each token and strictly decode it; a token
-takes the result where its cost drops. The candidate that takes most cost off the whole text is kept, and the search repeats on the
-outcome for further layers. A candidate that takes off little turns only tokens that tell for themselves: the outcome is a usual word in
-the alphabet of its line or text, and what was turned is more than a sign that writers set at words (footnote marks, times, micro).
-What is left of lost characters can't be restored, but still names the text.
+A text is parted at blanks into tokens, and each distinct token that is not plain ASCII has a garbling cost: characters that make up
+sequences of UTF-8, signs inside words, control characters, two scripts in a word, capitals amid small letters, Latin letters that no
+alphabet holds together, lost characters. What is all of one script, in usual capitals and with usual signs, costs nothing, in any
+language; letters that no one-byte encoding has can't come from one and cost nothing either. For a garbled text, candidates (the
+encoding it was read in, the encoding it was written in) re-encode each token and strictly decode it; a token takes the result only
+where its cost drops. The candidate that takes most cost off the whole text is kept (of equal ones that whose outcome has more of the
+commonest letters), and the search repeats on the outcome for further layers, until no cost drops. A candidate that takes off little
+turns only tokens that tell for themselves: the outcome is a usual word in the alphabet of its line or text, and what was turned is
+more than a sign that writers set at words (footnote marks, times, micro). Of a text that is found garbled, tokens on the lines of garbled ones
+follow by the same candidate where that costs nothing. What is left of lost characters can't be restored, but still names the text.
+
+A garbled word is quoted, not garbled, where its right form stands in the same sentence and a word tells of the change.
 """
 
 from __future__ import annotations
@@ -21,23 +26,39 @@ from pyspark.sql import functions as F
 from linkloom.llm.arrow import map_rows, spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
-# Letters beyond a-z of common alphabets.
+# Letters beyond a-z of the alphabets of languages.
 ALPHABETS = {
     "western": "àâäáãçéèêëíîïñóôöõúùûüßœæÿ",
+    "italian": "àèéìíîòóùú",
     "polish": "ąćęłńóśźż",
     "czech": "áčďéěíňóřšťúůýžľĺŕäô",
     "turkish": "çğıiöşüâîû",
     "nordic": "áðéíóúýþæöåø",
     "hungarian": "áéíóöőúüű",
     "romanian": "ăâîșțşţ",
-    "baltic": "āčēģīķļņšūžąęėįųõäöü",
+    "baltic": "āčēģīķļņšūžąęėįųõäöüō",
     "vietnamese": "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ",
+    "south slavic": "čćđšž",
+    "sorbian": "čćěłńóřśšžŕź",
+    "turkmen": "çäžňöşüý",
+    "azerbaijani": "çəğıöşü",
+    "crimean": "âçğıñöşü",
+    "welsh": "âêîôûŵŷáéíóúàèìòùäëïöüẁẃẅỳý",
+    "maltese": "ċġħżàèìòù",
+    "esperanto": "ĉĝĥĵŝŭ",
+    "sami": "áčđŋšŧžâǩǧõäöå",
+    "faroese": "áðíóúýæø",
+    "greenlandic": "áâãêéîíôúûæøåĸ",
+    "tahitian": "āēīōūàèìòùâêîôûé",
+    "guarani": "ãẽĩñõũỹáéíóúýü",
 }
 NORDIC = frozenset(ALPHABETS["nordic"])
 RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюя")
 SLAVIC = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґўђјљњћџѓќѕ")
 GREEK = frozenset("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώϊϋΐΰ")
 SETS = [frozenset(LATIN + "ªºﬀﬁﬂﬃﬄ" + x) for x in ALPHABETS.values()]
+# The commonest letters of Cyrillic, Greek and Latin texts.
+COMMON = frozenset("оеаинтсрвлαοιετςνηρπeaionrtsl")
 # Signs that stand within words.
 JOINERS = frozenset("’‘'ʼ·-–—‐‑/_&@.,:;…+*=#~|\\!?()[]{}<>\"“”„«»‹›%$^`‚•→←")
 TOKEN = re.compile(r"[^ \t\r\n]+")
@@ -48,12 +69,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(
     r"[\[(“„\"'«¿¡]*(?:"
     + "|".join(f"[{x.upper().replace('SS', 'ẞ')}{x}A-Za-z][{x}a-z]*" for x in (ALPHABETS[k] for k in ("western", "polish", "czech", "turkish", "vietnamese")))
-    + r"|[А-ЯЁа-яё][а-яё]*|[Α-ΩΆ-Ώα-ώ][α-ώ]*)[\])”\"'»’.,;:!?…]*"
+    + r"|[А-ЯЁЂ-Џа-яё][а-яёђ-џґ]*|[Α-ΩΆ-Ώα-ώ][α-ώ]*)[\])”\"'»’.,;:!?…]*"
 )
 
 
+@lru_cache(1 << 15)
 def _rare_han(c: str) -> bool:
-    """Outside the first levels of both national sets."""
+    """Outside the first levels of the national sets."""
     for codec, last in (("gb2312", 0xD7), ("shift_jis", 0x98)):
         try:
             if c.encode(codec)[0] <= last:
@@ -63,13 +85,24 @@ def _rare_han(c: str) -> bool:
     return True
 
 
+@lru_cache(1 << 15)
+def _han_cost(c: str) -> float:
+    """1 for a rare character, but little for one of the traditional set's first level."""
+    if not _rare_han(c):
+        return 0.0
+    try:
+        return 0.1 if c.encode("big5")[0] <= 0xC6 else 1.0
+    except UnicodeEncodeError:
+        return 1.0
+
+
 def _script(c: str) -> str:
     o = ord(c)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00 or 0xFB00 <= o < 0xFB07:
-        return "latin"
+    if o < 0x370 or 0x1D00 <= o < 0x1DC0 or 0x1E00 <= o < 0x1F00 or 0x2C60 <= o < 0x2C80 or 0xA720 <= o < 0xA800 or 0xFB00 <= o < 0xFB07:
+        return "any" if o == 0xB5 or 0x2B0 <= o < 0x370 else "latin"
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
         return "greek"
-    if 0x400 <= o < 0x530:
+    if 0x400 <= o < 0x530 or 0x1C80 <= o < 0x1C90 or 0x2DE0 <= o < 0x2E00 or 0xA640 <= o < 0xA6A0:
         return "cyrillic"
     if 0x3040 <= o < 0x3100 or 0x31F0 <= o < 0x3200:
         return "kana"
@@ -77,36 +110,26 @@ def _script(c: str) -> str:
         return "han"
     if 0xFF61 <= o < 0xFFA0:
         return "half"
+    if 0x2000 <= o < 0x3040 or o > 0xFFFF or 0xFF00 <= o < 0xFF61:
+        return "any"  # letters used as signs
     return "other"
 
 
-def _living(c: str) -> bool:
-    """Letters of scripts in wide use beside those told apart here."""
-    o = ord(c)
-    return 0x530 <= o < 0x10A0 or 0xAC00 <= o < 0xD7B0 or 0x1100 <= o < 0x1200 or o > 0xFFFF or 0x10A0 <= o < 0x1100 or 0x1200 <= o < 0x1380 or 0x1780 <= o < 0x1800 or 0xFF00 <= o < 0xFF61 or 0x2000 <= o < 0x3040
-
-
 def _word_cost(word: str) -> float:
     low = word.lower()
-    scripts = {_script(c) for c in low}
-    cost = 0.0
-    if "half" in scripts:
-        cost += 1.0 * sum(_script(c) == "half" for c in low)
+    of = [_script(c) for c in low]
+    scripts = set(of) - {"any"}
+    cost = float(of.count("half"))
     if scripts & {"kana", "han"}:
-        cost += sum(_script(c) == "han" and _rare_han(c) for c in low)
-        return cost + (0.5 if scripts - {"kana", "han", "half"} else 0)
-    cost += 2.0 * sum(_script(c) == "other" and not _living(c) for c in low)
-    if len(scripts - {"half"}) > 1:
-        cost += 1.0 + 0.5 * min(sum(_script(c) == s for c in low) for s in scripts - {"half"})
-    if "cyrillic" in scripts:
-        cost += 0.5 * sum(_script(c) == "cyrillic" and c not in RUSSIAN for c in low) + sum(_script(c) == "cyrillic" and c not in SLAVIC for c in low)
-    if "greek" in scripts:
-        cost += sum(_script(c) == "greek" and c not in GREEK for c in low)
+        return cost + sum(_han_cost(c) for c, s in zip(low, of) if s == "han") + (0.5 if scripts - {"kana", "han", "half"} else 0)
+    if len(scripts - {"half"}) > 1 and len(low) > 2:
+        cost += 3.0 + 0.5 * min(of.count(s) for s in scripts - {"half"})
     if "latin" in scripts:
         latin = [c for c in unicodedata.normalize("NFC", low) if _script(c) == "latin"]
-        cost += min(sum(c not in s for c in latin) for s in SETS)
+        if all(c in BYTE_LETTERS for c in latin):
+            cost += min(sum(c not in s for c in latin) for s in SETS)
         marked = sum(c > "\x7f" for c in latin)
-        if len(latin) >= 3 and marked == len(latin) and not set(latin) <= NORDIC:
+        if len(latin) >= 3 and marked == len(latin) and not set(latin) <= NORDIC and all(c in BYTE_LETTERS for c in latin):
             cost += 0.5 * marked
     # capitals after small letters
     if "cyrillic" in scripts and len(word) > 2 and word[0].islower() and word[1:].isupper():
@@ -138,6 +161,9 @@ def token_cost(token: str) -> float:
         if kind in ("Mn", "Mc", "Cf", "Nd"):
             continue
         before, after = k > 0 and token[k - 1].isalpha(), k + 1 < n and token[k + 1].isalpha()
+        run = 1 if before and after else 2
+        if (before or after) and kind in ("Sm", "No") and not (before and k > run and token[k - run - 1 : k].isalpha()) and not (after and k + run + 1 < n and token[k + 1 : k + run + 2].isalpha()):
+            continue  # at one or two letters: quantities, powers, formulas
         if kind == "Zs":
             continue
         if before and after:
@@ -153,6 +179,15 @@ def token_cost(token: str) -> float:
     return cost
 
 
+@lru_cache(1 << 18)
+def sequences(token: str) -> float:
+    """A cost for each character in what looks like sequences of UTF-8. In Cyrillic, where two letters can look so, from two sequences on."""
+    if token.isascii():
+        return 0.0
+    found = [r.findall(token) for r in RUNS]
+    return 1.5 * max(sum(map(len, x)) for x in (*found[:-1], found[-1] if len(found[-1]) > 1 else ()))
+
+
 def _table(codec: str) -> dict[int, str]:
     """Characters of a one-byte encoding to that byte as a Latin-1 character; bytes it leaves open stand for themselves."""
     out = {k: "\uffff" for k in range(0x80, 0x100)}
@@ -166,18 +201,41 @@ def _table(codec: str) -> dict[int, str]:
 
 
 ONE_BYTE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "cp1251", "cp866", "koi8-r", "cp1253", "iso8859-7", "cp1254", "iso8859-9", "iso8859-15", "cp1257", "cp1258", "mac_cyrillic", "cp852")
-WIDE = ("cp932", "gb18030", "big5", "euc_kr", "euc_jp")
+WIDE = ("cp932", "gbk", "big5", "euc_kr", "euc_jp")
 TABLES = {c: _table(c) for c in ONE_BYTE}
+BYTE_LETTERS = frozenset(LATIN) | {c.lower() for t in TABLES.values() for o in t if (c := chr(o)).isalpha() and o < 0x250 and len(c.lower()) == 1}
 LEGACY = [
-    *((a, b) for a in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850") for b in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1253", "iso8859-7", "cp932", "euc_jp", "gb18030", "big5", "euc_kr")),
+    *((a, b) for a in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850") for b in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1253", "iso8859-7", "cp932", "euc_jp", "gbk", "big5", "euc_kr")),
     *((a, b) for a in ("cp1252", "latin-1") for b in ("cp1250", "iso8859-2", "cp1254", "cp1258", "cp1257", "mac_roman", "cp437", "cp850", "cp852")),
-    *((a, b) for a in ("cp1251", "koi8-r", "cp866", "mac_cyrillic") for b in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1252", "cp1250", "cp1253", "gb18030", "cp932") if a != b),
+    *((a, b) for a in ("cp1251", "koi8-r", "cp866", "mac_cyrillic") for b in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp1252", "cp1250", "cp1253", "gbk", "cp932") if a != b),
     *((a, b) for a in ("cp1250", "iso8859-2", "cp437", "cp850", "cp852", "mac_roman", "cp1253", "cp1254", "cp1257") for b in ("cp1252", "cp1250", "iso8859-2", "cp852") if a != b),
-    *((a, b) for a in ("cp932", "gb18030", "big5", "euc_kr") for b in ("cp932", "euc_jp", "gb18030", "big5", "euc_kr", "cp1252", "cp1251", "cp1250") if a != b),
+    *((a, b) for a in ("cp932", "gbk", "big5", "euc_kr") for b in ("cp932", "euc_jp", "gbk", "big5", "euc_kr", "cp1252", "cp1251", "cp1250") if a != b),
 ]
+# Code points of what texts are made of: those whose sequences of UTF-8 count as garbling when they stand as single characters
+USUAL = ((0x80, 0x180), (0x192, 0x193), (0x1A0, 0x1B1), (0x218, 0x21C), (0x259, 0x25A), (0x2C6, 0x2DD), (0x386, 0x3CF), (0x401, 0x460), (0x490, 0x492), (0x5D0, 0x700), (0x900, 0x980), (0xE00, 0xE80), (0x1EA0, 0x1EFA), (0x2010, 0x2045), (0x20AC, 0x20AD), (0x2100, 0x2123), (0x2190, 0x2194), (0x2200, 0x2266), (0x3000, 0x30FF), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
+
+
+def _runs(codec: str) -> re.Pattern:
+    """What sequences of UTF-8 look like when read in a one-byte encoding."""
+    shown = {ord(b): chr(o) for o, b in TABLES[codec].items() if b < "\u0100"}
+    group = lambda some: "[" + "".join(map(re.escape, some)) + "]"
+    leads: dict[int, set[int]] = {}
+    threes: dict[int, set[int]] = {}
+    for first, last in USUAL:
+        if (first > 0x2FFF or 0x500 < first < 0x1000) and codec not in PLAINEST or first > 0x491 and codec == "cp1251":
+            continue  # letters of other encodings follow each other so
+        for o in range(first, last):
+            raw = chr(o).encode()
+            (leads if len(raw) == 2 else threes).setdefault(raw[0], set()).add(raw[1])
+    trail = group(shown[b] for b in range(0x80, 0xC0))
+    parts = [re.escape(shown[a]) + group(shown[b] for b in sorted(x)) for a, x in leads.items()] + [re.escape(shown[a]) + group(shown[b] for b in sorted(x)) + trail for a, x in threes.items()]
+    return re.compile("|".join(parts) + "|" + group(shown[b] for b in range(0xF0, 0xF5)) + trail + "{3}")
+
+
 TWO = re.compile("[\x80-\u036f\u2000-\u2bff][^\x00-\x7f]")  # UTF-8 takes two bytes at least, the first of them a sign or a Latin letter in those below
 SURE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")  # no word of any language decodes strictly from these by chance
 PLAINEST = ("cp1252", "latin-1")
+RUNS = [_runs(c) for c in (*PLAINEST, "mac_roman", "cp437", "cp850", "cp1250", "cp1251")]
 OUTER = "“”„«»‘’‹›…–—()[]{}<>\"'.,;:!?"
 
 
@@ -195,39 +253,48 @@ def recode(token: str, read: str, written: str) -> str | None:
 
 @lru_cache(1 << 18)
 def as_utf8(token: str) -> str:
-    """The token as it was written in UTF-8, by the first encoding whose outcome is shorter and costs least; else itself."""
-    best, least = token, token_cost(token)
-    if not least and not TWO.search(token):
+    """The token as it was written in UTF-8, by the first encoding whose outcome is shorter and costs least, less than the token; else itself."""
+    best, least = token, token_cost(token) + sequences(token)
+    if not least:
         return token
     for core in dict.fromkeys((token, token.strip(OUTER))):
         if not core or core.isascii():
             continue
-        for read in (*ONE_BYTE, *WIDE) if least else SURE:
+        for read in (*ONE_BYTE, *WIDE):
             new = recode(core, read, "utf-8")
-            if new is None or len(new) >= len(core):
+            if new is None or len(new) > len(core) or len(new) == len(core) and (read in TABLES or new.count("\x00")):
                 continue
             whole = token.replace(core, new, 1)
-            cost = token_cost(whole)
-            if read in PLAINEST and len(core) - len(new) > 1:
-                return whole  # two characters or more that decode strictly are no chance, whatever the next layer looks like
-            if cost < least or (best == token and cost <= least and read in SURE):
+            if (cost := token_cost(whole) + sequences(whole)) < least:
                 best, least = whole, cost
+                if read in PLAINEST:
+                    break
         if best != token:
             break
+    if best == token and token[-1] in "ÂÃ" and len(token) > 1:  # a no-break space or à, whose second half was taken for a blank
+        new = recode(token + "\xa0", "latin-1", "utf-8") or ""
+        if new and token_cost(new) <= token_cost(token[:-1]) and new[-1] in "\xa0à":
+            return new.rstrip("\xa0")
     return best
 
 
 @lru_cache(1 << 18)
 def gain(token: str, read: str, written: str) -> tuple[float, str]:
-    """Cost that a candidate takes off the token, and the outcome; 0 and the token itself where none."""
+    """Cost that a candidate takes off the token, and the outcome; 0 and the token itself where none, or where the outcome has signs that no writer sets."""
     new = recode(token, read, written)
-    if new is None or new == token:
+    if new is None or new == token or any(c > "\x7f" and not c.isalpha() and c not in USUAL_SIGNS and unicodedata.category(c)[0] != "M" for c in new):
         return 0.0, token
     drop = token_cost(token) - token_cost(new)
     return (drop, new) if drop > 0 else (0.0, token)
 
 
-NEAR = 5  # tokens to either side in which a quoted garbling is told beside its right form
+# Signs in texts beside letters.
+USUAL_SIGNS = frozenset("’‘“”„«»‹›‚–—‐‑…·•€£¥¢°©®™§№µ¡¿²³¹½¼¾×±†‡¶\xa0\xad←→、。「」『』・ー！？：；（），～〜〈〉《》【】％＋－０１２３４５６７８９")
+# Words that tell of a change, where a garbled word is quoted beside its right form.
+CHANGE = frozenset("""instead rather turned turns became becomes into shows showed shown displays displayed appears appeared typed wrote reads mojibake garbled encoding
+    statt anstatt wurde wird erscheint zeigt getippt lieu devient devenu affiche apparaît tapé vez aparece muestra lugar convierte zamiast zmienia wyświetla
+    вместо стало превратилось показывает invés mostra místo zobrazuje yerine gösterir αντί""".split())
+SENTENCE = re.compile(r"[.!?…][\"”»’')\]]*$")
 LEAST_GAIN = 1.5  # from here the sum over a text is evidence; below, tokens must tell for themselves
 MARKS = "†‡¹²³§¶°±×÷µ©®™"
 POLISH, SPANISH = frozenset(ALPHABETS["polish"]), frozenset("áéíñóúü")
@@ -237,11 +304,17 @@ INSIDE = re.compile(r"[^\W\d_][^\x00-\x7f][^\W\d_]")
 
 
 def _quoted(tokens: list[str], at: int, right: str) -> bool:
-    """Does the right form stand near the garbled one? Then the text tells of the garbling."""
+    """Does the right form stand in the same sentence, and a word that tells of a change? Then the text tells of the garbling."""
     core = right.strip(OUTER)
     if sum(map(str.isalpha, core)) < 2:
         return False
-    return any(t.strip(OUTER) == core for t in tokens[max(0, at - NEAR) : at + NEAR + 1])
+    begin = end = at
+    while begin > 0 and not SENTENCE.search(tokens[begin - 1]):
+        begin -= 1
+    while end + 1 < len(tokens) and not SENTENCE.search(tokens[end]):
+        end += 1
+    near = [t.strip(OUTER) for t in tokens[begin : end + 1]]
+    return core in near and any(t.lower() in CHANGE for t in near)
 
 
 def _letters(token: str) -> frozenset[str]:
@@ -286,6 +359,18 @@ def _telling(turned: dict[str, str], pair: tuple[str, str], tokens: list[str], m
     return {t: new for t, new in out.items() if (fit(t, new) if everywhere else INSIDE.search(t) and any(_letters(new) <= s for s in (*SETS, RUSSIAN, GREEK)))}
 
 
+def _same_reading(found: dict[str, str], many: dict[str, list[int]]) -> dict[str, str]:
+    """Tokens beside those found in UTF-8 that decode too, at no cost, from the encoding that most of these were read in."""
+    some = list(found.items())[:50]  # enough to tell the encoding; every token is tried with it
+    if len(some) < 3:
+        return {}
+    votes = {read: sum(recode(t, read, "utf-8") == new for t, new in some) for read in (*ONE_BYTE, *WIDE)}
+    read = max(votes, key=votes.__getitem__)
+    if 2 * votes[read] < len(some):
+        return {}
+    return {t: new for t in many if t not in found and (new := recode(t, read, "utf-8")) and len(new) < len(t) and token_cost(new) <= token_cost(t)}
+
+
 def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
     """Of one layer of garbling: tokens whose cost drops, with what they were; tokens that the same candidate turns at no cost; and
     whether most of the text is garbled so.
@@ -296,15 +381,18 @@ def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
         if not t.isascii():
             many.setdefault(t, []).append(k)
     found = {t: new for t in many if (new := as_utf8(t)) != t}
-    if 0 < len(found) <= 3:
-        for t in [t for t, new in found.items() if all(_quoted(tokens, k, new) for k in many[t])]:
-            del found[t], many[t]
+    for t in [t for t, new in found.items() if all(_quoted(tokens, k, new) for k in many[t])]:
+        del found[t], many[t]
+    foreign = [t for t, new in found.items() if len(t) - len(new) < 2 and any(_script(c) in ("greek", "cyrillic") for c in new if c.isalpha())]
+    if len(foreign) == 1 and sum([any(_script(c) in ("greek", "cyrillic") for c in t) for t in many]) == 0 and len(found) == 1:
+        del found[foreign[0]]  # one letter of another script, in a text without it, is chance
     costly = [t for t in many if token_cost(t) > 0 and "\ufffd" not in t]
     rest = sum([token_cost(t) * len(many[t]) for t in costly if t not in found])
-    taken = sum((token_cost(t) - token_cost(new)) * len(many[t]) for t, new in found.items())
+    taken = sum((token_cost(t) + sequences(t) - token_cost(new) - sequences(new)) * len(many[t]) for t, new in found.items())
+    same = _same_reading(found, many)
     if not rest or found and (rest <= taken or rest < LEAST_GAIN):
-        return found, {}, False
-    best, chosen, out, sure = taken, None, found, True
+        return found, same, False
+    best, chosen, out, sure, usual = taken, None, found, True, 0.0
     for read, written in LEGACY:
         total, new = 0.0, {}
         for t in costly:
@@ -313,17 +401,22 @@ def _repairs(text: str) -> tuple[dict[str, str], dict[str, str], bool]:
                 total += drop * len(many[t])
                 new[t] = to
         many_tell = total >= LEAST_GAIN and (len(new) > 1 or total >= 2 or len(many) == 1)
-        if total > best + 1e-9 and not many_tell:
+        if total > best - (1e-9 if chosen else -1e-9) and not many_tell:
             new = _telling(new, (read, written), tokens, many, text)
             total = sum((token_cost(t) - token_cost(to)) * len(many[t]) for t, to in new.items())
-        if total > best + 1e-9:
-            best, chosen, out, sure = total, (read, written), new, many_tell
+        if total > best - 1e-9 and new and (total > best + 1e-9 or chosen):
+            common = sum(sum([c in COMMON for c in to.lower()]) * len(many[t]) for t, to in new.items())
+            if total > best + 1e-9 or common > usual:
+                best, chosen, out, sure, usual = total, (read, written), new, many_tell, common
     if chosen is None:
-        return found, {}, False
+        return found, same, False
     even = {t: new for t in many if t not in out and (new := recode(t, *chosen)) is not None and new != t and token_cost(new) <= token_cost(t)}
-    if not sure:  # with them only those that their alphabet does not fit as they stand
-        right = [x for new in out.values() if (x := _letters(new))]
-        even = {t: new for t, new in even.items() if not _fits(t, right) and _fits(new, right)}
+    right = [x for new in out.values() if (x := _letters(new))]
+    misfits = {t: new for t, new in even.items() if not _fits(t, right) and _fits(new, right)}  # those that their alphabet does not fit as they stand
+    if not sure:
+        even = misfits
+    elif len(out) > 2:
+        out = misfits | out
     return out, even, sure and 2 * sum(len(many[t]) for t in out) > sum(map(len, many.values()))
 
 

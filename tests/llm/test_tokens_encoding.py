@@ -1,10 +1,15 @@
 import os
 import random
+import re
+import sys
 
 import pytest
 
 from linkloom.llm import encode, encoding_repair, packing
 
+sys.path.insert(0, os.path.dirname(__file__))
+from languages import SENTENCES  # noqa: E402
+
 VOCABULARY = f"{encode.FOLDER}/byte_bpe_50k.json"
 needs = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files")
 
@@ -218,3 +223,33 @@ def test_repair_of_tables(spark):
     assert encoding_repair.repaired(df.limit(0), "doc_id", "text").count() == 0
     long = "x " * 200_000 + "cafÃ©"
     assert encoding_repair.examine(long)[1].endswith("café")
+
+
+@pytest.mark.parametrize("language", sorted(SENTENCES))
+def test_right_text_in_any_language_is_no_case(language):
+    text = SENTENCES[language]
+    for piece in (text, *re.split("(?<=[.!?]) ", text), *text.split(" ")):
+        assert encoding_repair.examine(piece) == (False, piece, 0, True)
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "mac_roman", "cp437", "cp1250", "cp1251"])
+def test_languages_come_back_from_utf8(read):
+    wrong = []
+    for language, text in SENTENCES.items():
+        garbled = "".join(bytes([b]).decode(read) if _has(read, b) else chr(b) for b in text.encode())
+        if garbled == text:
+            continue
+        bad, restored, _, _ = encoding_repair.examine(garbled)
+        assert bad, language
+        wrong += [language] if restored != text else []
+    assert len(wrong) <= 2, wrong
+
+
+@pytest.mark.parametrize("text", ["We met at the café, the cafÃ© was full and cheap.", "Ã¼ber über Ã¶l cafÃ© café"])
+def test_a_right_form_near_is_no_quotation(text):
+    assert encoding_repair.examine(text)[0]
+
+
+def test_nothing_turns_at_no_drop():
+    for text in ("Il dit : —à demain, l’été viendra—ou pas. mot—à mot", "Рівне Сім’я Рі СЄ", "┌──┬──┐ ÁÆÖ: Þórð"):
+        assert encoding_repair.examine(text) == (False, text, 0, True)
