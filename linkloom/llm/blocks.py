@@ -11,7 +11,7 @@ The weights beside this file come from ``train_blocks.py``.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 from zlib import crc32
@@ -25,6 +25,7 @@ WEIGHTS = Path(__file__).with_name("blocks.npz")
 WORD = re.compile(r"[^\W\d_]+|0|[|›»©:–—#!?.,]|\n")
 TITLE = re.compile(r" [–|-] ")
 ENDS = frozenset(".!?…\"”»")
+VOLUME = 16384  # lines, with the filling of shorter pages, that run together
 
 
 @lru_cache(1 << 17)
@@ -51,7 +52,8 @@ def path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
 class Features:
     """Lines of some pages as flat arrays: ``words`` and ``paths`` with the begin of each line, and ``forms``, measures that no word tells."""
 
-    def __init__(self, pages: Sequence[Sequence[Line]]):
+    def __init__(self, pages: Sequence[Sequence[Line]], of: int | None = None, first: int = 0, head: Sequence[Line] | None = None):
+        """``of``, ``first``, ``head``: of a piece of one page, the page's number of lines, the piece's place, and the lines before it (the page's first, and the last one before)."""
         words: list[int] = []
         wat: list[int] = []
         paths: list[int] = []
@@ -71,8 +73,9 @@ class Features:
             done = len(words)
             wat += [done + k for k in begins]
             words += ids
-            path = None
-            title = TITLE.split(page[0].text)[0].lower() if page[0].path[-1:] == ("title",) else None
+            path = head[-1].path if head else None
+            top = head[0] if head else page[0]
+            title = TITLE.split(top.text)[0].lower() if top.path[-1:] == ("title",) else None
             for line in page:
                 s, own = line.text, line.path
                 pat.append(len(paths))
@@ -82,14 +85,21 @@ class Features:
                 path = own
         self.words, self.wat, self.paths, self.pat = (np.array(x, dtype=np.int64) for x in (words, wat, paths, pat))
         n, many, digits, linked, ends, low, up, commas, same, bars, titled, capitals = np.array(raw, dtype=np.float64).reshape(-1, 12).T
-        of = np.repeat(self.sizes, self.sizes).astype(np.float64)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        at = first + np.arange(len(n)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        of = np.full(len(n), float(of)) if of else np.repeat(self.sizes, self.sizes).astype(np.float64)
         self.forms = np.stack([
             np.minimum(n, 600) / 200, np.minimum(many, 80) / 20, digits / n, linked, ends, low, up, at / of, np.minimum(at, 30) / 30,
             np.minimum(of - at, 30) / 30, commas / many, same, np.minimum(bars, 5) / 2, titled, capitals / many, np.ones(len(n)),
         ], axis=1).astype(np.float32)
 
 
+    @classmethod
+    def pieces(cls, page: Sequence[Line], size: int) -> Iterator[Features]:
+        """Of one page, piece by piece; together the same measures as of the whole."""
+        for k in range(0, len(page), size):
+            yield cls([page[k : k + size]], len(page), k, (page[0], page[k - 1]) if k else None)
+
+
 def _means(table: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = np.diff(np.append(at, len(ids))).astype(np.float32)
     return np.add.reduceat(table[ids], at, axis=0) / n[:, None]
@@ -127,32 +137,52 @@ class Labeller:
         w = self.w
         return np.concatenate([_means(w["words"], f.words, f.wat), _means(w["paths"], f.paths, f.pat), f.forms], axis=1)
 
-    def chances(self, pages: Sequence[Sequence[Line]], batch: int = 128) -> list[np.ndarray]:
-        """Of each page, the chance of each line to be own content."""
+    def chances(self, pages: Sequence[Sequence[Line]], volume: int = VOLUME) -> list[np.ndarray]:
+        """Of each page, the chance of each line to be own content.
+
+        Pages of like length run together, as many as stay under ``volume`` lines with the filling; a longer page runs alone, its lines
+        measured piece by piece. No page is cut.
+        """
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        w = self.w
-        for begin in range(0, len(order), batch):
-            some = order[begin : begin + batch]
-            f = Features([pages[k] for k in some])
-            x = self.inputs(f)
-            steps, rows = int(f.sizes.max()), len(some)
-            row = np.repeat(np.arange(rows), f.sizes)
-            first = np.repeat(np.cumsum(f.sizes) - f.sizes, f.sizes)
-            ahead = np.arange(len(x)) - first
-            back = np.repeat(f.sizes, f.sizes) - 1 - ahead
-            live = np.zeros((steps, rows, 1), np.float32)
-            live[ahead, row] = 1
-            total = w["by"]
-            for way, at in (("f", ahead), ("b", back)):
-                z = np.zeros((steps, rows, w["u" + way].shape[1]), np.float32)
-                z[at, row] = x @ w["w" + way] + w["b" + way]
-                total = total + run_lstm(z, live, w["u" + way])[at, row] @ w["y" + way]
-            chance = _sigmoid((total + x @ w["yx"])[:, 0])
-            for k, piece in zip(some, np.split(chance, np.cumsum(f.sizes)[:-1]), strict=True):
+        begin = 0
+        while begin < len(order):
+            end = begin + 1
+            while end < len(order) and len(pages[order[end]]) * (end + 1 - begin) <= volume:
+                end += 1
+            some = order[begin:end]
+            f = [Features([pages[k] for k in some])] if end > begin + 1 else Features.pieces(pages[some[0]], volume)
+            for k, piece in zip(some, self._chances(f), strict=True):
                 out[k] = piece
+            begin = end
         return out
 
+    def _chances(self, parts: Sequence[Features] | Iterator[Features]) -> list[np.ndarray]:
+        """``parts``: pages in one piece, or the pieces of one page."""
+        w = self.w
+        sizes, bases, ahead_z, back_z = [], [], [], []
+        for f in parts:
+            x = self.inputs(f)
+            sizes.append(f.sizes)
+            bases.append((x @ w["yx"] + w["by"])[:, 0])
+            ahead_z.append(x @ w["wf"] + w["bf"])
+            back_z.append(x @ w["wb"] + w["bb"])
+        size = sizes[0] if len(sizes) == 1 else np.array([sum(int(s[0]) for s in sizes)])
+        total = np.concatenate(bases)
+        steps, rows = int(size.max()), len(size)
+        row = np.repeat(np.arange(rows), size)
+        ahead = np.arange(len(total)) - np.repeat(np.cumsum(size) - size, size)
+        back = np.repeat(size, size) - 1 - ahead
+        live = np.zeros((steps, rows, 1), np.float32)
+        live[ahead, row] = 1
+        for way, at, part in (("f", ahead, ahead_z), ("b", back, back_z)):
+            z = np.zeros((steps, rows, w["u" + way].shape[1]), np.float32)
+            z[at, row] = np.concatenate(part)
+            part.clear()
+            total = total + (run_lstm(z, live, w["u" + way])[at, row] @ w["y" + way])[:, 0]
+            del z
+        return np.split(_sigmoid(total), np.cumsum(size)[:-1])
+
 
 @lru_cache(1)
 def labeller() -> Labeller:

@@ -12,14 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import canonical
 from linkloom.llm.arrow import map_rows, spread
 from linkloom.llm.blocks import labeller
 from linkloom.llm.pages import text_lines
-from linkloom.llm.stuffing import is_stuffed, profile
+from linkloom.llm.stuffing import is_stuffed, profile, verdict
 
 CHANCE = 0.5
 WORD = re.compile(r"[^\W_]+")
-MEASURES = ("words", "bare_share", "link_share", "function_share", "near_share", "regularity", "autocorrelation", "distinct_share", "all_recurrences", "all_distinct_share", "all_near_share", "all_regularity", "all_autocorrelation")
+MEASURES = ("words", "bare_share", "link_share", "plain_share", "near_share", "regularity", "autocorrelation", "distinct_share", "all_recurrences", "all_near_share", "all_regularity", "all_autocorrelation")
 
 
 def read_pages(pages: list[str | None], chance: float = CHANCE, every: bool = False) -> list[tuple[list, list[int], dict[str, float], bool]]:
@@ -71,9 +72,34 @@ def stuffing_measures(pages: DataFrame, key: str = "page_id", html: str = "html"
     return map_rows(rows, run, f"key {kind}, stuffed boolean, " + ", ".join(f"{k} double" for k in MEASURES)).withColumnRenamed("key", key)
 
 
-def stuffed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Keys of the stuffed pages."""
+def link_counts(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """(u, outlinks) by canonical address: rows of ``links`` (src), or the stored outdegree where that is more. Null addresses drop out."""
+    own = links.where("src is not null").groupBy(canonical(F.col("src")).alias("u")).agg(F.count("*").alias("k"))
+    told = stored.where("url is not null").groupBy(canonical(F.col("url")).alias("u")).agg(F.max("outdegree").alias("k"))
+    return own.unionByName(told).groupBy("u").agg(F.max("k").alias("outlinks"))
+
+
+def stuffed_pages(pages: DataFrame, links: DataFrame | None = None, stored: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Keys of the stuffed pages. Null and empty pages are none; each row is read for itself.
+
+    Where the sequence of a page's words tells nothing, its links decide: those of ``links`` (src) or the ``stored`` (url, outdegree), less those in the site's
+    furniture. Only such pages, and those found by their words, are joined with the link counts.
+    """
     kind = dict(pages.dtypes)[key]
-    rows = spread(pages.select(F.col(key).alias("key"), F.col(html).alias("html")))
-    run = lambda x: {"key": [k for k, (*_, bad) in zip(x["key"], read_pages(x["html"]), strict=True) if bad]}
-    return map_rows(rows, run, f"key {kind}").withColumnRenamed("key", key)
+    rows = spread(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")))
+
+    def run(x: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("key", "url", "least")}
+        for k, u, (lines, numbers, m, bad) in zip(x["key"], x["url"], read_pages(x["html"]), strict=True):
+            if bad or verdict(m) is None and m["words"] >= 12 and u:
+                own = set(numbers)
+                out["key"].append(k)
+                out["url"].append(u)
+                out["least"].append(None if bad else m["words"] * m["bare_share"] / 2 + sum(line.linked > 0 for n, line in enumerate(lines, 1) if n not in own))
+        return out
+
+    found = map_rows(rows, run, f"key {kind}, url string, least double")
+    if links is None or stored is None:
+        return found.where("least is null").select(F.col("key").alias(key))
+    met = found.withColumn("u", canonical(F.col("url"))).join(link_counts(links, stored), "u", "left")
+    return met.where("least is null or outlinks >= least").select(F.col("key").alias(key))

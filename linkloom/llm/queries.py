@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import canonical
 from linkloom.llm import encode, encoding_repair, main_content, near_copies, packing, site_lines, term_frequency
 from linkloom.llm.arrow import spread, table
 
@@ -66,19 +67,15 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_content.stuffed_pages(table(spark, d, "pages"))
+    return main_content.stuffed_pages(table(spark, d, "pages"), table(spark, d, "edges"), table(spark, d, "documents_v"))
 
 
 def p5_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Measures of every page, with the number of its links in edges and the outdegree that the crawler stored."""
-    from linkloom.functions.urls import canonical
-
+    """Measures of every page, with the number of its links in edges or, where that is more, the outdegree that the crawler stored."""
     pages = table(spark, d, "pages")
-    m = main_content.stuffing_measures(pages)
     urls = pages.select("page_id", canonical(F.col("url")).alias("u"))
-    links = table(spark, d, "edges").where("src is not null").groupBy(canonical(F.col("src")).alias("u")).agg(F.count("*").alias("links"))
-    stored = table(spark, d, "documents_v").where("url is not null").groupBy(canonical(F.col("url")).alias("u")).agg(F.max("outdegree").alias("outdegree"))
-    return m.join(urls, "page_id").join(links, "u", "left").join(stored, "u", "left").drop("u")
+    counts = main_content.link_counts(table(spark, d, "edges"), table(spark, d, "documents_v"))
+    return main_content.stuffing_measures(pages).join(urls, "page_id").join(counts, "u", "left").drop("u")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Keyword-stuffed, tagged and link-list pages.
+"""Keyword-stuffed, tagged and link-list pages, told in any language without word lists.
 
-Of the words of a page's own content, those in sentences are told from those that stand bare. Sentences end in a mark and
-hold function words; bare words are links, tags, places after a term, or search words in a row. Bare words count as
-stuffing where the term sequence shows it: terms that recur at short or regular gaps, positions that agree with those a
-fixed lag before them (autocorrelation over a window of lags), long runs of names without function words, or links.
+Of the words of a page's own content, those in sentences are told from those that stand bare. A sentence ends in a mark, has four words or
+more, is not cut into short pieces by commas and other separators, and does not repeat its own words; in scripts without blanks
+between words a long piece is one without a mark. Bare words are links, tags, places after a term, or search words in a row. Bare words
+count as stuffing where the term sequence shows it: terms that recur at short or regular gaps, positions that agree with those a
+fixed lag before them (autocorrelation over a window of lags), long runs of distinct names of which none recurs as function words do,
+or links. Where the sequence shows nothing, the page's links in the link table and its stored outdegree decide.
 
-The same is measured over all words of the own content but function words and numbers, in sentences or not, and decides by itself:
-stuffing can be written in sentences.
+Recurrence is also measured over all words of the own content, in sentences or not, and decides by itself: stuffing can be written in
+sentences. Function words make some words of any text recur; the limits leave room for them in every language.
 """
 
 from __future__ import annotations
@@ -18,39 +20,18 @@ import numpy as np
 
 from linkloom.llm.pages import Line, line_key
 
-# Function words of common languages.
-FUNCTION = frozenset(
-    """a about above after again all also although am an and any are as at away be because been before behind being below between but by call could
-    did do does each every few for found from gave had has have he her his how i if in into is it its keep kept lies like looks many may meets might more
-    most must need never no nobody not of off often old on once only or other our out over own rather same saw she should so some such than that the their them
-    then there these they this those through to too tried under until up very was way we were what when where which while who why will with without would writes
-    yet you your
-    aber alle als am an auch auf aus bei bin bis da das dass dem den der des die doch du durch ein eine einem einen einer eines er es für größer hat haben hier
-    ich ihr im in ist ja kann können man mehr mit müssen nach nicht noch nur ob oder schön schon sehr sein sich sie sind so über um und uns unter vom von vor war
-    wäre was wenn wer wie wir wird wo zu zum zur zwischen
-    au aux avec ce ces cette comme dans de des du déjà elle en encore est et été être il ils je la le les leur lui mais même ne nous on ou où par pas plus pour
-    qu que qui sa sans se ses son sont sous sur très tu un une vers vous à ça après
-    al algo año así aún con cómo como cuando de del desde después donde el ella en entre era es esta está este fue ha hasta hay la las le lo los más me muy ni no
-    nos o para pero por porque qué que se según ser si sí sin sobre sólo son su sus también te tiene un una uno y ya
-    aby ale być był była było bo co czy dla do gdy go i ich ja jak jako je jego jej jest jeśli już ku lub ma między może mu na nad nie niż o od on ona oni po pod
-    ponieważ przed przez przy są się ta tak także tam te tego tej ten to też tu ty tylko tym u w we więc z za ze że który która które
-    а без бы был была были было в вам вас во вот все всё вы где да для до его ее её если есть еще ещё же за и из или им их к как ко когда которые который кто ли
-    между мне мы на над не него нет ни но о об он она они от по под при с со так также там то тоже только ты у уже что чтобы это я
-    a ale ani až bez být byl byla co do i jak jako je jeho její jen k kde když která který má mezi na nad ne nebo o od po pod pro při s se si tak také to u už v ve z za že
-    ai alla anche che chi ci come con da dal della delle di e gli ha i il in la le lo ma nel non per più quando se si sono su tra un una è
-    aan als bij dat de die door een en er haar het hij ik in is je maar met naar niet nog of om onder ook op over te tot uit van voor was wat we worden zijn
-    ao aos as até com da das de dele do dos e ela em entre era foi já mais mas na nas não no nos o os ou para pela pelo por que se sem ser seu são também um uma à é
-    att av de den det du efter ej en ett för från han har hon i inte jag kan med men när och om på som till under var vi är över
-    bir bu da daha de değil en için ile ise ki mi ne o olarak sonra ve veya ya çok
-    ένα από αυτό για δεν είναι ένας και με μια να ο οι σε στην στο τα τη την της τις το του των ως η θα που""".split()
-)
-
 WORD = re.compile(r"[^\W_]+")
-PART = re.compile(r"(?<=[.!?…])[\"”»’']*\s+|\s[–—|]\s")
-END = re.compile(r"[.!?…][\"”»’')]*$")
+# letters, digits and the marks that scripts set at letters
+MARKED = re.compile("[\\w\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0670\u0900-\u0903\u093a-\u0963\u0981-\u0983\u09bc-\u09e3\u0a01-\u0a4d\u0abc-\u0acd\u0b01-\u0b56\u0b82-\u0bcd\u0c00-\u0c56\u0cbc-\u0cd6\u0d00-\u0d57\u0e31-\u0e4e\u0eb1-\u0ecd\u102b-\u103e\u17b4-\u17d3\u200c\u200d]+")
+PART = re.compile(r"(?<=[.!?…।։؟。！？])[\"”»’')」』]*\s*(?=\S)|\s[–—|]\s")
+END = re.compile(r"[.!?…।։؟。！？][\"”»’')」』]*$")
+SEPARATOR = re.compile(r"[,;:|/#•·()\[\]،、，；+*=<>]|\s[-–—]\s")
+# letters of scripts that set no blanks between words; two count as a word
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
 LAGS = 64
-# Shares of all words that recur. On the 5,660 pages of sf0.1 that are no cases they are 0.30 at most, the autocorrelation 0.11 at most.
-SOME, MOST = 0.3, 0.5
+# Shares of all words that recur within LAGS. On the pages of the sample tables that are no cases they are 0.46 at most, the autocorrelation 0.27 at most, the bare share 0.30 at most.
+SOME, MOST = 0.5, 0.65
+LONG_RUN = 6  # words of a bare piece from which it may be prose without a mark
 
 
 def gaps(terms: np.ndarray) -> tuple[float, float]:
@@ -75,18 +56,46 @@ def autocorrelation(terms: np.ndarray) -> float:
     return max(float((terms[lag:] == terms[:-lag]).mean()) for lag in range(1, min(LAGS, n // 2) + 1)) - chance
 
 
-def content_terms(texts: Sequence[str]) -> np.ndarray:
-    """All words but function words and numbers, as numbers by word. A line that comes back, but for its digits, counts once, unless it repeats words itself."""
+def words_of(piece: str) -> list[str]:
+    """The words of a piece in lower case."""
+    return (WORD if piece.isascii() else MARKED).findall(piece.lower())
+
+
+def numbered(words: Sequence[str]) -> np.ndarray:
     number: dict[str, int] = {}
+    return np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
+
+
+def is_sentence(piece: str, words: list[str]) -> tuple[int, bool]:
+    """Number of words of a piece, and whether it is a sentence. ``words``: its runs of letters and digits, in lower case."""
+    unspaced = 0 if piece.isascii() else len(UNSPACED.findall(piece))
+    n = max(len(words), unspaced // 2)
+    if n < 4:
+        return n, False
+    if not END.search(piece) and (unspaced < 16 or 6 * len(words) > unspaced):
+        return n, False
+    if n < 2.5 * (1 + len(SEPARATOR.findall(piece))):
+        return n, False
+    return n, len(words) < 8 or len(set(words)) >= 0.55 * len(words)
+
+
+def repeats_itself(words: list[str]) -> bool:
+    """Do words of at least the mean length recur within a piece? Those of function are shorter in every language."""
+    mean = sum(map(len, words)) / max(1, len(words))
+    long = [w for w in words if len(w) >= mean]
+    return len(long) - len(set(long)) > 0.12 * len(words)
+
+
+def content_terms(pieces: Sequence[tuple[str, list[str]]]) -> np.ndarray:
+    """All words but numbers, as numbers by word. A piece that comes back, but for its digits, counts once, unless it repeats words itself."""
     seen: set[str] = set()
-    out: list[int] = []
-    for text in texts:
-        text = line_key(text)
-        line = [number.setdefault(w, len(number)) for w in WORD.findall(text) if w not in FUNCTION and not w.isdigit()]
-        if text not in seen or gaps(np.array(line, dtype=np.int64))[0] > 0.2:
-            out += line
-        seen.add(text)
-    return np.array(out, dtype=np.int64)
+    out: list[str] = []
+    for piece, words in pieces:
+        piece = line_key(piece)
+        if piece not in seen or repeats_itself(words):
+            out += [w for w in words if not w.isdigit()]
+            seen.add(piece)
+    return numbered(out)
 
 
 def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
@@ -96,50 +105,61 @@ def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
     autocorrelation of all words where few recur, as they can't change the outcome there.
     """
     bare: list[str] = []
-    total = words_bare = words_linked = function = 0
+    pieces: list[tuple[str, list[str]]] = []
+    total = words_bare = words_linked = words_plain = 0
     for line in own[1:]:
-        words = WORD.findall(line.text.lower())
-        if line.linked < 0.8 and len(hits := FUNCTION.intersection(words)) > 2 and END.search(line.text) and sum([w in hits for w in words]) >= 0.12 * len(words):
-            total += len(words)  # sentences throughout
-            continue
+        linked = line.linked >= 0.8
         for piece in PART.split(line.text):
-            words = WORD.findall(piece.lower())
+            words = words_of(piece)
             if not words:
                 continue
-            hits = FUNCTION.intersection(words)
-            known = len(hits) if len(hits) == 0 else sum([w in FUNCTION for w in words])
-            total += len(words)
-            sentence = line.linked < 0.8 and len(words) >= 4 and len(hits) >= (2 if len(words) > 7 else 1) and known >= 0.06 * len(words) and (END.search(piece) is not None or known >= 0.25 * len(words) and len(words) > 9)
-            if not sentence:
-                words_bare += len(words)
-                words_linked += len(words) if line.linked >= 0.8 else 0
-                function += known
+            pieces.append((piece, words))
+            n, sentence = is_sentence(piece, words)
+            total += n
+            if linked or not sentence:
+                words_bare += n
                 bare += words
+                if linked:
+                    words_linked += n
+                elif n >= LONG_RUN and not SEPARATOR.search(piece) and not any(map(str.isdigit, piece)) and not END.search(piece) and not any(w.isupper() and len(w) > 3 for w in piece.split()):
+                    words_plain += n
     if not every and words_bare <= 0.5 * total:
         bare = []
-    number: dict[str, int] = {}
-    terms = np.array([number.setdefault(w, len(number)) for w in bare], dtype=np.int64)
+    terms = numbered(bare)
     near, regular = gaps(terms)
-    content = content_terms([line.text for line in own[1:]])
+    content = content_terms(pieces)
     all_near, all_regular = gaps(content)
     return {
         "words": float(total), "bare_share": words_bare / max(1, total), "link_share": words_linked / max(1, words_bare),
-        "function_share": function / max(1, words_bare), "near_share": near, "regularity": regular,
-        "autocorrelation": autocorrelation(terms), "distinct_share": len(number) / max(1, words_bare),
-        "all_recurrences": float(round(all_near * len(content))), "all_distinct_share": len(np.unique(content)) / max(1, len(content)), "all_near_share": all_near, "all_regularity": all_regular,
+        "plain_share": words_plain / max(1, words_bare), "near_share": near, "regularity": regular,
+        "autocorrelation": autocorrelation(terms), "distinct_share": len(set(bare)) / max(1, len(bare)),
+        "all_recurrences": float(round(all_near * len(content))), "all_near_share": all_near, "all_regularity": all_regular,
         "all_autocorrelation": autocorrelation(content) if every or all_near > SOME else 0.0,
     }
 
 
-def is_stuffed(p: dict[str, float]) -> bool:
-    """All words recurrent, or many of them so and regularly; or more than half of the words bare, and their sequence that of stuffing: recurrent,
-    names in a row, or links. Names in a row tell nothing in fewer than 12 words.
+def verdict(p: dict[str, float]) -> bool | None:
+    """Is the page stuffed? None where its words stand bare, but their sequence tells nothing.
+
+    All words recurrent, or many of them so and regularly; or more than half of the words bare, and their sequence that of stuffing: recurrent at
+    near or regular gaps, distinct names in a row, or links. Names in a row tell nothing in fewer than 12 words, and long bare pieces without separators may be prose
+    without marks, in which some words recur.
     """
-    often = p["all_recurrences"] >= 6 and p["all_distinct_share"] < 0.25  # an article may come back to a phrase; here words come four times and more
-    if often and (p["all_near_share"] > MOST or p["all_near_share"] > SOME and (p["all_regularity"] > 0.8 or p["all_autocorrelation"] > 0.25)):
+    often = p["all_recurrences"] >= 6
+    if often and (p["all_near_share"] > MOST or p["all_near_share"] > SOME and (p["all_regularity"] > 0.8 or p["all_autocorrelation"] > 0.6)):
         return True
     if p["bare_share"] <= 0.5:
         return False
-    recurrent = p["near_share"] > 0.25 or p["autocorrelation"] > 0.12
-    names = p["function_share"] < 0.12 and p["words"] >= 12
-    return recurrent or names or p["link_share"] > 0.5
+    if p["link_share"] > 0.5:
+        return True
+    recurrent = p["near_share"] > SOME or p["near_share"] > 0.25 and p["regularity"] > 0.8 or p["autocorrelation"] > 0.12
+    if recurrent:
+        return True
+    if p["words"] < 12 or p["plain_share"] > 0.5:
+        return None
+    return True
+
+
+def is_stuffed(p: dict[str, float]) -> bool:
+    """By the words alone; the links of pages whose words tell nothing are asked in ``main_content.stuffed_pages``."""
+    return verdict(p) is True

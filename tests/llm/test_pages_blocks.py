@@ -1,9 +1,16 @@
+import os
+import re
+import sys
+
 import numpy as np
 import pytest
 
 from linkloom.llm import blocks, main_content, train_blocks
-from linkloom.llm.pages import host, line_key, same_url, text_lines
-from linkloom.llm.stuffing import autocorrelation, gaps, is_stuffed, profile
+from linkloom.llm.pages import Line, host, line_key, same_url, text_lines
+from linkloom.llm.stuffing import autocorrelation, gaps, is_stuffed, profile, verdict
+
+sys.path.insert(0, os.path.dirname(__file__))
+from languages import SENTENCES  # noqa: E402
 
 
 def lines(html):
@@ -178,3 +185,44 @@ def test_sequence_measures():
     assert gaps(regular) == (0.95, 1.0)
     assert autocorrelation(np.arange(100)) == pytest.approx(-0.01)
     assert gaps(np.arange(100)) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("language", sorted(set(SENTENCES) - {"Phonetic", "Mathematics"}))
+def test_prose_in_any_language_is_not_stuffed(language):
+    text = SENTENCES[language]
+    pieces = [x for x in re.split("(?<=[.!?。])", text) if x.strip()]
+    for texts in ([text], [text] * 3, pieces, [text, *pieces]):
+        assert verdict(profile(own(*texts))) in (False, None)
+        assert not is_stuffed(profile(own(*texts)))
+
+
+@pytest.mark.parametrize("language", sorted(set(SENTENCES) - {"Phonetic", "Mathematics", "Thai", "Japanese", "Chinese", "Traditional Chinese"}))
+def test_keywords_in_any_language_are_stuffing(language):
+    words = [w.strip(".,;:!?¿¡—·») ") for w in SENTENCES[language].split() if len(w) > 3][:5]
+    rng = np.random.default_rng(1)
+    rows = [" ".join(rng.choice(words, 12)).capitalize() for _ in range(12)]
+    assert is_stuffed(profile(own(*rows)))
+    assert is_stuffed(profile(own(*(r + "." for r in rows))))
+    assert is_stuffed(profile(own(*(", ".join(r.split()) for r in rows))))
+
+
+def test_links_decide_where_words_tell_nothing(spark):
+    head = "<title>A long walk - Some Site</title><main><h1>A long walk</h1>"
+    body = "".join(f"<p>{x}</p>" for x in ("we went over the hill and down to the old mill near the water", "nobody had seen the miller since the end of that cold winter", "so she opened the door herself and called his name twice"))
+    data = [(1, "http://a.example/1", head + body), (2, "http://A.example/2#x", head + body), (3, None, head + body), (4, "http://a.example/4", None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as u", "3 as least")
+    links = spark.createDataFrame([("http://a.example/2", f"http://a.example/{k}") for k in range(80)] + [(None, "x"), ("http://a.example/1", "y")], "src string, dst string")
+    stored = spark.createDataFrame([("http://a.example/1", 3), (None, 90), ("http://a.example/4", 900)], "url string, outdegree long")
+    measured = {r["page_id"]: r for r in main_content.stuffing_measures(pages).collect()}
+    assert measured[1]["bare_share"] == 1
+    assert [r["page_id"] for r in main_content.stuffed_pages(pages, links, stored).collect()] == [2]
+    assert main_content.stuffed_pages(pages).count() == 0
+    assert main_content.stuffed_pages(pages.limit(0), links, stored).count() == 0
+
+
+def test_long_pages_beside_short_ones_take_no_more_memory():
+    big = [Line(f"Line {k} of the page.", ("p",), 0.0, ()) for k in range(5000)]
+    small = [big[:12]] * 40
+    labeller = blocks.labeller()
+    whole, few = labeller.chances([big, *small]), labeller.chances([big, *small], volume=700)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(whole, few, strict=True))
