@@ -1,15 +1,19 @@
 """Near copies by an inverted join over signature coordinates.
 
 Each text is a set of word runs (shingles). Minima of ``MINIMA`` hash functions are taken, two at a time, as the ``COORDINATES``
-of its signature: sets of similarity s agree in a coordinate with the chance s * s, which leaves unlike texts with next to
-no agreement. Texts are posted under each coordinate-value pair, and texts that meet are paired. A pair
-with at least T agreements must meet among the COORDINATES - T + 1 rarest pairs of each, by any order common to all, so only these
-are posted (prefix), and the commonest, which unlike texts share, are skipped. The order comes from counts of all
-coordinate-value pairs, summed into a table of fixed size. Pairs that met are first held against their small sketches of all minima,
-and then against the threshold by their whole sets.
+of its signature: sets of similarity s agree in a coordinate with the chance s * s. A pair counts as a match from T agreements on. Texts are
+posted under coordinate-value pairs, the posting lists are merged, and collisions of each pair are counted.
+
+* Prefix: a pair with T agreements has at least two of them among the COORDINATES - T + 2 first of each text, by any order common to all. Only
+  these are posted, and only pairs that collide twice go on.
+* Skip: a list longer than ``HOT``, as a common shingle makes, is not merged. Its texts are posted again under each two of their skipped
+  coordinates, as a pair that has no two collisions elsewhere must share two of these, or one of each kind. A text with one skipped
+  coordinate so meets nobody for it. Lists that are still long are parted into blocks, and pairs of blocks are merged one by one.
+* The collisions that were not merged are then looked up: pairs stay whose signatures agree in T coordinates, and in as many single minima as
+  the similarity asks for. What is left is held against the threshold by the whole sets.
 
 Equal sets are one class from the start: a representative is posted, and its members come back at the end. The chance to
-lose a pair at a similarity of exactly the threshold is that of fewer than T agreements, at most 1 in 10,000; it falls fast above.
+lose a pair at a similarity of exactly the threshold is that of fewer agreements than T, and than the single minima ask for: at most 1 in 10,000 each (``MISS``); it falls fast above.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow import map_rows, spread
-from linkloom.session import cut_lineage, written
+from linkloom.session import cut_lineage, parts_for, written
 
 WORD = re.compile(r"[^\W_]+")
 MINIMA, COORDINATES = 96, 48
 MISS = 1e-4
-TABLE, BLOCK = 1 << 18, 1 << 12  # counters of the order of coordinate-value pairs, and counters in a row of their sum
+HOT = 1000  # texts in a posting list from which it is skipped, and in a block of a long list
+CHUNK = 1 << 14  # shingles hashed at once
 SALT = np.random.default_rng(20240229)
 A = SALT.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 B = SALT.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -61,8 +66,10 @@ def shingles(text: str | None, width: int, short: bool = False) -> np.ndarray:
 
 def minima(own: np.ndarray) -> np.ndarray:
     """Minima of the hash functions, as 32-bit numbers."""
-    mixed = (own[:, None] * A[None, :] + B[None, :]) >> np.uint64(32)
-    return mixed.min(axis=0).astype(np.uint32)
+    low = np.full(MINIMA, np.iinfo(np.uint64).max)
+    for k in range(0, len(own), CHUNK):
+        low = np.minimum(low, ((own[k : k + CHUNK, None] * A[None, :] + B[None, :]) >> np.uint64(32)).min(axis=0))
+    return low.astype(np.uint32)
 
 
 def coordinates(low: np.ndarray) -> np.ndarray:
@@ -107,48 +114,131 @@ def _matrix(column: pa.Array, kind: type, wide: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, wide)
 
 
-def _counts(at: DataFrame) -> np.ndarray:
-    """Counts of all coordinate-value pairs by slot of a fixed table; what reaches the driver is that table, 2 MB at any size."""
+def _postings(reps: DataFrame, keep: int) -> DataFrame:
+    """(at, key, n): each text under its ``keep`` first coordinate-value pairs, by their numbers."""
+    kind = dict(reps.dtypes)["key"]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.int64)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                slots = (_matrix(b.column(0), np.uint64, COORDINATES) % np.uint64(TABLE)).astype(np.int64)
-                total += np.bincount(slots.ravel(), minlength=TABLE)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(TABLE // BLOCK), pa.int32()), "part": pa.array([x.tobytes() for x in total.reshape(-1, BLOCK)], pa.binary())})
+                at = np.sort(_matrix(b.column("at"), np.uint64, COORDINATES), axis=1)[:, :keep].astype(np.int64).ravel()
+                row = pa.array(np.repeat(np.arange(b.num_rows), keep))
+                yield pa.RecordBatch.from_arrays([pa.array(at), b.column("key").take(row), b.column("n").take(row)], names=["at", "key", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(part, np.int64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "part": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+    return reps.select("key", "n", "at").mapInArrow(go, f"at bigint, key {kind}, n int")
 
-    kind = "block int, part binary"
-    out = np.zeros((TABLE // BLOCK, BLOCK), np.int64)
-    for r in at.mapInArrow(each, kind).repartition(8, "block").mapInArrow(add, kind).collect():
-        out[r["block"]] = np.frombuffer(r["part"], np.int64)
-    return out.ravel()
 
+def _pairs_of(at: np.ndarray, n: np.ndarray, begin: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs in the given lists whose sizes allow the similarity; lists of equal size are taken together."""
+    first, second = [], []
+    for k in np.unique(size):
+        i, j = np.triu_indices(int(k), 1)
+        step = max(1, (1 << 20) // len(i))
+        own = begin[size == k]
+        for m in range(0, len(own), step):
+            x, y = (own[m : m + step, None] + i).ravel(), (own[m : m + step, None] + j).ravel()
+            fit = (n[x] >= similarity * n[y]) & (n[y] >= similarity * n[x])
+            first.append(x[fit])
+            second.append(y[fit])
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def _postings(reps: DataFrame, order: np.ndarray, keep: int) -> DataFrame:
-    """(at, key, n): each text under its ``keep`` rarest coordinate-value pairs."""
-    kind = dict(reps.dtypes)["key"]
-    shared = reps.sparkSession.sparkContext.broadcast(np.minimum(order, 2**31 - 1).astype(np.int32))  # 1 MB at any size
+
+def merged(posts: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b, at, n): pairs of each posting list, a < b, with null at; and the postings (a, at, n) of lists longer than ``hot``, with null b.
+
+    A partition is read in the order of its lists; of a long list no more than ``hot`` rows and a batch are held.
+    """
+    kind = dict(posts.dtypes)["key"]
+    names = ["a", "b", "at", "n"]
+
+    def skipped(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        return pa.RecordBatch.from_arrays([t["key"].combine_chunks() if t.num_rows else pa.array([], t.schema.field("key").type), pa.nulls(t.num_rows, t.schema.field("key").type), *(t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("at", "n"))], names=names)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
+        held: pa.Table | None = None
+        long: int | None = None  # the list that is being skipped
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = _matrix(b.column("at"), np.uint64, COORDINATES)
-            rare = np.lexsort((keys, count[(keys % np.uint64(TABLE)).astype(np.int64)]), axis=1)[:, :keep]
-            at = np.take_along_axis(keys, rare, axis=1).astype(np.int64).ravel()
-            row = pa.array(np.repeat(np.arange(b.num_rows), keep))
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("key").take(row), b.column("n").take(row)], names=["at", "key", "n"])
-
-    return reps.select("key", "n", "at").mapInArrow(go, f"at bigint, key {kind}, n int")
+            t = pa.Table.from_batches([b])
+            if long is not None:
+                here = int(np.searchsorted(b.column("at").to_numpy(), long, side="right"))
+                if here:
+                    yield skipped(t.slice(0, here))
+                    t = t.slice(here)
+                if not t.num_rows:
+                    continue
+                long = None
+            t = pa.concat_tables([held, t]) if held is not None else t
+            at = t["at"].to_numpy()
+            last = int(np.searchsorted(at, at[-1], side="left"))
+            if len(at) - last > hot:
+                yield from lists(t.slice(0, last))
+                yield skipped(t.slice(last))
+                held, long = None, int(at[-1])
+            else:
+                yield from lists(t.slice(0, last))
+                held = t.slice(last)
+        if held is not None:
+            yield from lists(held)
+
+    def lists(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        at, n = t["at"].to_numpy(), t["n"].to_numpy()
+        begin = np.append(0, np.nonzero(at[1:] != at[:-1])[0] + 1)
+        size = np.diff(np.append(begin, len(at)))
+        for x in np.nonzero(size > hot)[0]:
+            yield skipped(t.slice(int(begin[x]), int(size[x])))
+        some = (size > 1) & (size <= hot)
+        x, y = _pairs_of(at, n, begin[some], size[some], similarity)
+        if len(x):
+            key = t["key"].combine_chunks()
+            none = lambda kind: pa.nulls(len(x), kind)
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(x)), key.take(pa.array(y)), none(pa.int64()), none(pa.int32())], names=names)
+
+    ordered = posts.repartition(parts_for(posts), "at").sortWithinPartitions("at", "key")
+    return ordered.mapInArrow(go, f"a {kind}, b {kind}, at bigint, n int")
+
+
+def skipped_pairs(skipped: DataFrame, similarity: float, two: bool, hot: int = HOT) -> DataFrame:
+    """(a, b) of texts that share two skipped coordinates, or one where ``two`` is not set. ``skipped``: (a, at, n)."""
+    if two:
+        held = skipped.groupBy(F.col("a").alias("key")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list("at")).alias("ats"))  # COORDINATES at most
+        each = held.where(F.size("ats") > 1).select("key", "n", F.posexplode("ats").alias("i", "x"), "ats")
+        posts = each.select("key", "n", "x", F.explode(F.slice("ats", F.col("i") + 2, F.size("ats"))).alias("y")).select("key", "n", F.xxhash64("x", "y").alias("at"))
+    else:
+        posts = skipped.select(F.col("a").alias("key"), "n", "at")
+    posts = written(posts)
+    many = posts.groupBy("at").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    own = posts.join(many, "at").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cells = own.select("at", "key", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("at", "key", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    x, y = cells.alias("x"), cells.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("at", "i", "j")]
+    fit = (F.col("x.n") >= F.col("y.n") * similarity) & (F.col("y.n") >= F.col("x.n") * similarity)
+    other = (F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own"))
+    return x.join(y, same[0] & same[1] & same[2] & (F.col("x.key") < F.col("y.key")) & fit & other).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
+def candidates(reps: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b, distinct: pairs that collide as often as the prefix asks for."""
+    t = fewest(COORDINATES, similarity**2)
+    need = min(2, t)
+    met = written(merged(_postings(reps, COORDINATES - t + need), similarity, hot))
+    counted = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("hits"))
+    skipped = met.where("b is null").select("a", "at", "n")
+    out = counted.where(F.col("hits") >= need).select("a", "b")
+    if skipped.isEmpty():
+        return out
+    if need > 1:  # one collision here, and another in a list that both were skipped in
+        single = counted.where("hits = 1")
+        some = skipped.select("a").distinct()
+        for side in "ab":
+            single = single.join(some.select(F.col("a").alias(side)), side, "left_semi")
+        out = out.unionByName(single.select("a", "b"))
+    return out.unionByName(skipped_pairs(skipped, similarity, need > 1, hot)).distinct()
 
 
 def _both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
@@ -157,21 +247,18 @@ def _both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def similar_classes(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity): pairs of class representatives, a < b, that reach the similarity. ``found``: written features of representatives."""
+def similar_classes(found: DataFrame, reps: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b, similarity): pairs of class representatives, a < b, that reach the similarity. ``found``: written features by key; ``reps``: those of representatives."""
     kind = dict(found.dtypes)["key"]
-    keep = COORDINATES - fewest(COORDINATES, similarity**2) + 1
-    least = fewest(MINIMA, similarity)
-    posts = _postings(found, _counts(found.select("at")), keep)
-    x, y = posts.alias("x"), posts.alias("y")
-    met = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.n") >= F.col("y.n") * similarity) & (F.col("y.n") >= F.col("x.n") * similarity))
-    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    least, match = fewest(MINIMA, similarity), fewest(COORDINATES, similarity**2)
+    pairs = candidates(reps, similarity, hot)
 
     def near(x: dict[str, list]) -> dict[str, list]:
         if not x["a"]:
             return {"a": [], "b": []}
         s, t = (np.frombuffer(b"".join(x["sketch_" + side]), np.uint8).reshape(-1, MINIMA) for side in "ab")
-        kept = np.nonzero((s == t).sum(axis=1) >= least)[0].tolist()
+        agree = s == t
+        kept = np.nonzero((agree.sum(axis=1) >= least) & ((agree[:, 0::2] & agree[:, 1::2]).sum(axis=1) >= match))[0].tolist()
         return {side: [x[side][k] for k in kept] for side in "ab"}
 
     def exact(x: dict[str, list]) -> dict[str, list]:
@@ -185,31 +272,35 @@ def similar_classes(found: DataFrame, similarity: float) -> DataFrame:
         return out
 
     likely = map_rows(_both(pairs, found, "sketch"), near, f"a {kind}, b {kind}", rows=5000)
-    return map_rows(_both(likely, found, "own"), exact, f"a {kind}, b {kind}, similarity double", rows=2000)
+    return map_rows(_both(likely, found, "own"), exact, f"a {kind}, b {kind}, similarity double", rows=200)
 
 
-def near_copies(feats: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs of class representatives, membership). Membership: (key, rep) of every row that has shingles.
+def near_copies(feats: DataFrame, similarity: float, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pairs of class representatives, membership). Membership: (key, rep) of every key that has shingles.
 
-    Rows with a null key are left out; a key on several rows stands for the union of the classes it is in. Both results
+    Rows with a null key are left out; of several rows with one key the one whose set has the greatest hash counts. Both results
     rest on written tables.
     """
-    feats = written(feats.where("key is not null"))
-    heads = feats.groupBy("same").agg(F.min("key").alias("rep"))
-    members = feats.select("same", "key").join(heads, "same").select("key", "rep").distinct()
-    chosen = heads.select(F.col("rep").alias("key"), "same")
-    reps = feats.join(chosen, ["key", "same"], "left_semi").groupBy("key").agg(*(F.max_by(c, "same").alias(c) for c in ("n", "at", "sketch", "own")))
-    return written(similar_classes(written(reps), similarity)), members
+    columns = ["same", "n", "at", "sketch", "own"]
+    one = feats.where("key is not null").groupBy("key").agg(F.max_by(F.struct(*columns), "same").alias("x"))
+    found = written(one.select("key", "x.*"), by="key")
+    heads = found.groupBy("same").agg(F.min("key").alias("rep"))
+    members = found.select("same", "key").join(heads, "same").select("key", "rep")
+    reps = found.join(heads.select(F.col("rep").alias("key")), "key", "left_semi")
+    return written(similar_classes(found, reps, similarity, hot)), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of keys of similar or equal classes. As large as its result has to be."""
+    """(a, b), a < b: every pair of keys of similar or equal classes. As large as its result has to be; large classes are paired block by block."""
     members = written(members)
-    m, o = members.alias("m"), members.alias("o")
-    within = m.join(o, (F.col("m.rep") == F.col("o.rep")) & (F.col("m.key") < F.col("o.key"))).select(F.col("m.key").alias("a"), F.col("o.key").alias("b"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1").select("rep", F.ceil(F.col("size") / HOT).cast("int").alias("blocks"))
+    many = members.join(sizes, "rep")
+    m = many.select("rep", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    o = many.select(F.col("rep").alias("r"), F.col("key").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    within = m.join(o, (F.col("rep") == F.col("r")) & (F.col("block") == F.col("k")) & (F.col("key") < F.col("b"))).select(F.col("key").alias("a"), "b")
     x = pairs.join(members.select(F.col("rep").alias("a"), F.col("key").alias("one")), "a").join(members.select(F.col("rep").alias("b"), F.col("key").alias("two")), "b")
     across = x.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).where("a < b")
-    return within.unionByName(across).distinct()
+    return within.unionByName(across)
 
 
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -233,7 +324,7 @@ def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     others = edges.join(sizes, edges.b == sizes.rep).groupBy("a").agg(F.sum("size").alias("other"))
     of = sizes.join(label, sizes.rep == label.v).join(others, F.col("rep") == others.a, "left")
     of = of.select("rep", F.col("l").alias("group"), (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("links"))
-    return members.join(of, "rep").groupBy("key").agg(F.min("group").alias("group"), F.max("links").alias("links"))
+    return members.join(of, "rep").select("key", "group", "links")
 
 
 def with_single(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:

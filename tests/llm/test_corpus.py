@@ -72,6 +72,48 @@ def test_near_copies_against_all_pairs(spark, width, similarity):
     assert {k: n for k, (_, n) in group.items()} == {k: sum(k in p for p in wanted) for k in label}
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20])
+@pytest.mark.parametrize(("width", "similarity"), [(3, 0.5), (5, 0.8), (3, 0.2)])
+def test_skipped_lists_lose_no_pair(spark, width, similarity, hot):
+    rng = random.Random(width)
+    data = list(enumerate(texts(rng, 80)))
+    df = spark.createDataFrame(data, "id long, text string")
+    feats = near_copies.text_features(df, "id", "text", width)
+    plain, _ = near_copies.near_copies(feats, similarity)
+    skipped, _ = near_copies.near_copies(feats, similarity, hot)
+    assert plain.count() > 0
+    assert sorted(tuple(r) for r in skipped.collect()) == sorted(tuple(r) for r in plain.collect())
+
+
+def test_one_coordinate_of_very_many_texts_pairs_nobody(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    many = 100_000
+
+    def go(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            key = b.column(0).to_numpy()
+            at = np.random.default_rng(int(key[0]) + 1).integers(0, 1 << 63, (len(key), near_copies.COORDINATES), dtype=np.uint64)
+            at[:, 0] = 7  # one for all
+            twins = key >= many - 2
+            at[twins, 1:6] = [11, 12, 13, 14, 15]
+            yield pa.RecordBatch.from_pydict({"key": key, "n": np.full(len(key), 100, np.int32), "at": [x.tobytes() for x in at]})
+
+    reps = spark.range(many).mapInArrow(go, "key long, n int, at binary")
+    found = near_copies.candidates(reps, 0.5).agg(F.count("*"), F.min("a"), F.max("b")).first()
+    assert tuple(found) == (1, many - 2, many - 1)
+
+
+def test_minima_in_pieces(monkeypatch):
+    own = near_copies.shingles(" ".join(f"w{k}" for k in range(500)), 3)
+    whole = near_copies.minima(own)
+    monkeypatch.setattr(near_copies, "CHUNK", 7)
+    assert (near_copies.minima(own) == whole).all()
+
+
 def test_many_exact_copies_are_one_class(spark):
     df = spark.createDataFrame([(k, "one two three four five six seven") for k in range(3000)] + [(9999, "one two three four five six eight")], "id long, text string")
     pairs, members = near_copies.near_copies(near_copies.text_features(df, "id", "text", 3), 0.5)
