@@ -7,7 +7,9 @@ not content. Pages without such an element, error pages and pages without conten
 known furniture stands on them, else they are not used.
 
 So that the labeller does not lean on markup alone, each page is also shown with its wrappers taken off, with foreign
-names on its elements, or with its heading as a plain block. The sample is bounded (``PAGES``).
+names on its elements, or with its heading as a plain block. So that it leans neither on the length of articles nor on their
+words, pages are also shown cut to a few lines of their content, without furniture on either side or amid it, with their paragraphs as plain
+blocks or parted into sentences, and with all their words unknown. The sample is bounded (``PAGES``).
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from linkloom.llm.pages import Line, host, line_key, text_lines
 PAGES = 6000
 RARE = 4  # times that a page without own content is shown, as there are few
 UNKNOWN_WORDS, UNKNOWN_LINES = 0.1, 0.4  # shares made unknown in training, as other crawls have other words
+FOREIGN = 0.12  # share of the pages with own content whose words are all made unknown, as of a language not seen
+SHORT, BARE, PLAIN = 0.25, 0.25, 0.2  # shares of pages shown with few lines of content, without furniture before or after it, and with paragraphs as plain blocks
+CLEAN, APART = 0.25, 0.35  # shares of pages shown without furniture amid the content, and with a line for each sentence
+SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 DIM_WORD, DIM_PATH, UNITS = 24, 16, 32
 DATE = re.compile(r"^\d{1,2}(\.\d\d\.\d{4}|\.? \w+ \d{4})$|^\d{4}-\d\d-\d\d$")
 
@@ -141,6 +147,40 @@ def disguise(lines: list[Line], at: tuple[int, int, int] | None, how: int, rng:
     return out
 
 
+def shortened(lines: list[Line], at: tuple[int, int, int] | None, y: np.ndarray, rng: np.random.Generator, short: float = SHORT, foreign: float = FOREIGN) -> tuple[list[Line], tuple[int, int, int] | None, np.ndarray, bool]:
+    """The page with fewer lines of content or of furniture, a line for each sentence, or plain blocks for paragraphs; its labels; and whether its
+    words are to be unknown, which goes without furniture amid the content, as only words tell it there. Pages without own content stay as they are.
+    """
+    if at is None or y[at[0] :].sum() < 3:
+        return lines, at, y, False
+    head, first, last = at
+    strange = bool(rng.random() < foreign)
+    keep = np.ones(len(lines), bool)
+    if rng.random() < short:
+        own = np.nonzero(y > 0.5)[0]
+        own = own[own > head]
+        some = own[(begin := int(rng.integers(len(own) - 1))) : begin + int(rng.integers(2, 9))]
+        keep[head + 1 : last + 1] &= y[head + 1 : last + 1] < 0.5
+        keep[some] = True
+    if strange or rng.random() < CLEAN:
+        keep[first : last + 1] &= y[first : last + 1] > 0.5
+    for side in (slice(1, first), slice(last + 1, len(lines))):
+        if rng.random() < BARE / 2:
+            keep[side] = False
+    if rng.random() < PLAIN:
+        lines = [x._replace(path=(*x.path[:-1], "div")) if x.path and x.path[-1] == "p" else x for x in lines]
+    apart = rng.random() < APART
+    out, label, place = [], [], np.zeros(len(lines) + 1, int)
+    for k, x in enumerate(lines):
+        place[k] = len(out)
+        if keep[k]:
+            pieces = SENTENCE.split(x.text) if apart and y[k] > 0.5 and k > head else [x.text]
+            out += [x._replace(text=t) for t in pieces if t]
+            label += [y[k]] * sum(map(bool, pieces))
+    place[len(lines)] = len(out)
+    return out, (int(place[head]), int(place[first]), int(place[last + 1]) - 1), np.array(label, np.float32), strange
+
+
 def start(seed: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     wide = DIM_WORD + DIM_PATH + FORMS
@@ -152,12 +192,14 @@ def start(seed: int) -> dict[str, np.ndarray]:
     return w
 
 
-def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np.ndarray], rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of a batch, by backpropagation through both directions. With ``rng`` some words, and more whole lines, are made unknown."""
+def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np.ndarray], rng: np.random.Generator | None = None, strange: list[bool] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradients of a batch, by backpropagation through both directions. With ``rng`` some words, and more whole lines, are made unknown, and all of the pages in ``strange``."""
     f = Features(pages)
     if rng is not None:
         unknown = rng.random(len(f.words)) < UNKNOWN_WORDS
         unknown[f.wat] = rng.random(len(f.wat)) < UNKNOWN_LINES
+        of_line = np.repeat(np.array(strange or [False] * len(pages)), f.sizes)
+        unknown |= np.repeat(of_line, np.diff(np.append(f.wat, len(f.words))))
         f.words[unknown] = rng.integers(0, WORDS, unknown.sum())
     x = Labeller(w).inputs(f)
     y = np.concatenate(labels)[:, None]
@@ -209,7 +251,7 @@ def gradients(w: dict[str, np.ndarray], pages: list[list[Line]], labels: list[np
     return loss, g
 
 
-def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 24, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
+def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 30, batch: int = 48, rate: float = 4e-3, seed: int = 7, hold: int = 10, say=print) -> dict[str, np.ndarray]:
     """Weights after some epochs. Every tenth host is held out, and accuracy on it is said."""
     teacher, rng = Teacher(pages), np.random.default_rng(seed)
     own, held = [], []
@@ -230,8 +272,9 @@ def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 24, batch: i
             group = sorted(group, key=lambda k: len(own[k][0]))
             for i in range(0, len(group), batch):
                 some = [own[k] for k in group[i : i + batch]]
-                views = [disguise(x, at, int(rng.choice(5, p=[0.3, 0.15, 0.25, 0.15, 0.15])), rng) for x, at, _ in some]
-                loss, g = gradients(w, views, [y for _, _, y in some], rng)
+                some = [shortened(*x, rng) for x in some]
+                views = [disguise(x, at, int(rng.choice(5, p=[0.3, 0.15, 0.25, 0.15, 0.15])), rng) for x, at, _, _ in some]
+                loss, g = gradients(w, views, [y for _, _, y, _ in some], rng, [odd for *_, odd in some])
                 step += 1
                 now = rate * min(1, step / 50) * (0.5 + 0.5 * np.cos(np.pi * min(1, step / total)))
                 for k in w:
@@ -246,6 +289,9 @@ def train(pages: list[tuple[str | None, list[Line]]], epochs: int = 24, batch: i
         views = [disguise(x, at, how, rng) for x, at, _ in held]
         wrong = [int(((p > 0.5) != (y > 0.5)).sum()) for p, (_, _, y) in zip(Labeller(w).chances(views), held, strict=True)]
         say(f"held-out hosts, disguise {how}: {1 - sum(wrong) / max(1, sum(len(x) for x, _, _ in held)):.4f} of the lines right, {wrong.count(0) / max(1, len(held)):.3f} of the pages throughout")
+    cut = [shortened(*x, rng, short=1.0, foreign=0)[:3] for x in held]
+    wrong = [int(((p > 0.5) != (y > 0.5)).sum()) for p, (_, _, y) in zip(Labeller(w).chances([x for x, _, _ in cut]), cut, strict=True)]
+    say(f"held-out hosts, cut short: {1 - sum(wrong) / max(1, sum(len(x) for x, _, _ in cut)):.4f} of the lines right, {wrong.count(0) / max(1, len(cut)):.3f} of the pages throughout")
     return w
 
 
