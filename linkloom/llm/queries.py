@@ -53,12 +53,13 @@ def p3_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.frequent_lines(site_lines.line_sequences(table(spark, d, "pages"))).select("host", "line")
+    """The lines of the sequences that PrefixSpan finds."""
+    return site_lines.frequent_lines(site_lines.line_sequences(table(spark, d, "pages")))
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of lines of any length that come back within a site."""
-    return site_lines.frequent_runs(site_lines.line_sequences(table(spark, d, "pages")))
+    """Sequences of lines of any length that come back within a site."""
+    return site_lines.frequent_sequences(site_lines.line_sequences(table(spark, d, "pages")))
 
 
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:

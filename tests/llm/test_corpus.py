@@ -158,49 +158,58 @@ def site_data():
     return [*data, (100, None, html(["Menu"])), (101, "http://b.example/1", None), (102, "http://b.example/2", ""), (103, "nothing", html(["Menu"]))]
 
 
-def frequent(data, longest, gap):
-    """Plain search."""
+def frequent(data, gap, least=5):
+    """Plain search: supports of all patterns over the frequent lines of each page, then the closed ones."""
+    pages = [(host(u), same_url(u), [line_key(x.text) for x in text_lines(h)]) for _, u, h in data if u and h and host(u)]
+    alone = defaultdict(set)
+    for h, u, seq in pages:
+        for x in seq:
+            alone[h, x].add(u)
     support = defaultdict(set)
-    for _, u, h in data:
-        if u and h and host(u):
-            seq = [line_key(x.text) for x in text_lines(h)]
-            level = [((x,), i) for i, x in enumerate(seq)]
-            for _ in range(longest):
-                for p, _ in level:
-                    support[host(u), p].add(same_url(u))
-                level = [((*p, seq[j]), j) for p, i in level for j in range(i + 1, min(len(seq), i + gap + 2))]
-    return {k: len(v) for k, v in support.items() if len(v) >= 5}
-
-
-@pytest.mark.parametrize(("longest", "gap"), [(1, 0), (3, 0), (3, 1)])
-def test_frequent_sequences_against_search(spark, longest, gap):
-    df = spark.createDataFrame(site_data(), "page_id long, url string, html string").selectExpr("*", "1 as line", "2 as host", "3 as key")
-    got = site_lines.frequent_sequences(site_lines.line_sequences(df), longest=longest, gap=gap)
-    assert {(r["host"], tuple(r["lines"])): r["support"] for r in got.collect()} == frequent(site_data(), longest, gap)
+    for h, u, seq in pages:
+        seq = [x for x in seq if len(alone[h, x]) >= least]
+        level = [((x,), i) for i, x in enumerate(seq)]
+        while level:
+            for p, _ in level:
+                support[h, p].add(u)
+            level = list({((*p, seq[j]), j) for p, i in level for j in range(i + 1, min(len(seq), i + gap + 2))})
+    often = {k: len(v) for k, v in support.items() if len(v) >= least}
+    inner = {(h, q, n) for (h, p), n in often.items() for q in (p[1:], p[:-1])}
+    return {k: n for k, n in often.items() if (*k, n) not in inner}
+
+
+@pytest.mark.parametrize(("gap", "local"), [(0, 10**6), (0, 20), (0, 0), (1, 10**6), (1, 60)])
+def test_frequent_sequences_against_search(spark, gap, local):
+    data = site_data()
+    df = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 as line", "2 as host", "3 as key")
+    got = site_lines.frequent_sequences(site_lines.line_sequences(df), gap=gap, local=local)
+    wanted = frequent(data, gap)
+    assert any(len(p) > 2 for _, p in wanted)
+    assert sorted((r["host"], tuple(r["lines"]), r["support"]) for r in got.collect()) == sorted((*k, n) for k, n in wanted.items())
 
 
-def test_runs_of_any_length(spark, tmp_path):
+@pytest.mark.parametrize("local", [10**6, 30])
+def test_sequences_of_any_length(spark, tmp_path, local):
     footer = [f"footer {c}" for c in "abcdefg"]
-    data = site_data() + [(200 + k, f"http://c.example/{k}", html([f"own {c}" for c in "xyz"[: k % 3]] + footer)) for k in range(6)]
+    data = site_data() + [(200 + k, f"http://c.example/{k}", html([f"own {c}" for c in "xyz"[: k % 3]] + footer[:3] + [f"only {'abcdefgh'[k]}"] + footer[3:])) for k in range(6)]
     data += [(200, "http://c.example/0", html(["other", *footer[:2]])), data[-1]]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
-    df.write.parquet(str(tmp_path / "pages.parquet"))
-    wanted = frequent(data, 99, 0)
-    assert ("c.example", tuple(line_key(x) for x in footer)) in wanted
-    from linkloom.llm import queries
-
-    for got in (queries.p4_sequences(spark, str(tmp_path)), site_lines.frequent_sequences(site_lines.line_sequences(df), longest=None)):
-        assert sorted((r["host"], tuple(r["lines"]), r["support"]) for r in got.collect()) == sorted((*k, n) for k, n in wanted.items())
+    wanted = frequent(data, 0)
+    assert ("c.example", tuple(line_key(x) for x in footer)) in wanted  # other lines lie between
+    got = site_lines.frequent_sequences(site_lines.line_sequences(df), local=local)
+    assert sorted((r["host"], tuple(r["lines"]), r["support"]) for r in got.collect()) == sorted((*k, n) for k, n in wanted.items())
+    lines = {(r["host"], r["line"]) for r in site_lines.frequent_lines(site_lines.line_sequences(df), local=local).collect()}
+    assert lines == {(h, x) for h, p in wanted for x in p}
 
 
 def test_without_repeats(spark):
     data = site_data()
-    often = {(h, p[0]) for h, p in frequent(data, 1, 0)}
+    often = {(h, x) for h, p in frequent(data, 0) for x in p}
     df = spark.createDataFrame(data, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in site_lines.without_repeats(df).collect()}
     wanted = {k: "\n".join(x.text for x in text_lines(h) if (host(u), line_key(x.text)) not in often) for k, u, h in data if u and h and host(u)}
     assert got == wanted
     assert site_lines.without_repeats(df.limit(0)).count() == 0
-    assert site_lines.frequent_sequences(site_lines.line_sequences(df.limit(0)), longest=2).count() == 0
+    assert site_lines.frequent_sequences(site_lines.line_sequences(df.limit(0))).count() == 0
     with pytest.raises(ValueError):
-        site_lines.frequent_sequences(site_lines.line_sequences(df), longest=0)
+        site_lines.frequent_sequences(site_lines.line_sequences(df), gap=-1)
