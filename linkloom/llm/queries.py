@@ -83,6 +83,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all documents, from their ids."""
+    return encode.texts_of(p6_ids(spark, d), "doc_id")
+
+
 def capacities(spark: SparkSession, d: str) -> dict[int, int]:
     """The kinds of containers: three rows."""
     rows = table(spark, d, "containers").where("container_id is not null and capacity > 0").limit(packing.CONTAINERS + 1).collect()
@@ -108,7 +113,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p4_found, p4_sequences, p4_texts, p5_found, p5_measures, p6_ids, p7_packs, p7_report, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p4_found, p4_sequences, p4_texts, p5_found, p5_measures, p6_ids, p6_texts, p7_packs, p7_report, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -123,4 +128,4 @@ def oracle_sql() -> dict[str, str]:
         a AS (SELECT count(DISTINCT u) AS every FROM t),
         c AS (SELECT term, sum(coalesce(n, 0))::BIGINT AS occurrences, count(DISTINCT u) AS records FROM t WHERE term <> '' GROUP BY term)
         SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.3 * every THEN 'common' END AS mark FROM c, a"""
-    return {"p1_terms": terms, "p1_found": f"SELECT term, mark FROM ({terms}) WHERE mark IS NOT NULL"}
+    return {"p1_terms": terms, "p1_found": f"SELECT term, mark FROM ({terms}) WHERE mark IS NOT NULL", "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -33,12 +33,31 @@ def test_ids_against_the_library(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in encode.token_counts(df, "doc_id", "text").collect()} == {k: len(v) for k, v in got.items()}
     back = {k: known.decode(v, skip_special_tokens=False) for k, v in got.items()}
     assert all(back[k] == (t or "") for k, t in enumerate(given))
+    assert {r["doc_id"]: r["text"] for r in encode.texts_of(encode.token_ids(df, "doc_id", "text"), "doc_id").collect()} == {k: t or "" for k, t in enumerate(given)}
+
+
+@needs
+def test_ids_without_text(spark):
+    df = spark.createDataFrame([(1, [15496, 11]), (1, []), (None, None), (3, [15496, 999_999]), (4, [None]), (5, [250, 50256])], "k long, ids array<int>").selectExpr("*", "1 as key", "2 as text")
+    assert sorted((str(r["k"]), str(r["text"])) for r in encode.texts_of(df, "k").collect()) == sorted([("1", "Hello,"), ("1", ""), ("None", ""), ("3", "None"), ("4", "None"), ("5", "\ufffd<|endoftext|>")])
+    assert encode.texts_of(df.limit(0), "k").count() == 0
+
+
+@needs
+def test_long_words_take_the_same_way():
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(7)
+    words = ["a" * n for n in (1, 2, 3, 7, 500, 5001)] + ["ab" * 900, "abc" * 700, "!" * 333, "".join(rng.choice("abcdefgh") for _ in range(4000)), "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(1500)), "ก" * 999]
+    e = encode.Encoder(open(VOCABULARY, "rb").read())
+    assert e.encode(words) == [known.encode(w, add_special_tokens=False).ids for w in words]
 
 
 @needs
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(encode, "KNOWN", 3)
-    e = encode.Encoder(VOCABULARY)
+    e = encode.Encoder(open(VOCABULARY, "rb").read())
     first = e.encode(["one two three four", "five", None])
     assert e.encode(["six seven", "one two three four"])[1] == first[0]
     assert e.encode([]) == []
