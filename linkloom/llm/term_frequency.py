@@ -5,7 +5,7 @@ partition. A partition then holds for each of its terms three numbers: occurrenc
 a row adds to the records only where its record differs from the last. No set of records is kept for any term. The slices
 hold disjoint records, so their counts add up; they part a term that a third of all rows may have.
 
-Each batch of rows also yields its different records once under the empty term, which no row can have: that term's number
+Rows of one term and record in a batch are added up before they are partitioned. Each batch of rows also yields its different records once under the empty term, which no row can have: that term's number
 of records is the number of all records, terms or not, from the same reading.
 
 Terms count as equal after removing format characters (category Cf), NFC, lower-casing and trimming white space.
@@ -51,11 +51,21 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 1 << 16):
             part = b.slice(at, 1 << 16)
             term, url = (pc.dictionary_encode(part.column(k)) for k in ("term", "record"))
-            names = pa.array([term_key(t) for t in term.dictionary.to_pylist()], pa.string())
+            # rows of one term and record are one from here on
+            number: dict[str, int] = {}
+            same = np.array([number.setdefault(term_key(t), len(number)) for t in term.dictionary.to_pylist()] + [-1], np.int64)
             keys = np.array([record_key(u) for u in url.dictionary.to_pylist()], np.int64).reshape(-1, 2)
-            rec = keys[url.indices.to_numpy(zero_copy_only=False)]
-            out = pa.RecordBatch.from_arrays([names.take(term.indices), pa.array(rec[:, 0]), pa.array(rec[:, 1]), part.column("n")], names=["term", "r1", "r2", "n"])
-            yield out.filter(pc.fill_null(pc.not_equal(out.column("term"), ""), False))
+            _, own = np.unique(keys, axis=0, return_inverse=True)
+            code = same[pc.fill_null(term.indices, len(same) - 1).to_numpy(zero_copy_only=False)]
+            place = url.indices.to_numpy(zero_copy_only=False)
+            held = (code >= 0) & (code != number.get("", -1))
+            pair = code[held] * max(1, len(keys)) + own.ravel()[place[held]]
+            _, first, of = np.unique(pair, return_index=True, return_inverse=True)
+            n = np.zeros(len(first), np.int64)
+            np.add.at(n, of.ravel(), part.column("n").to_numpy(zero_copy_only=False)[held])
+            rec = keys[place[held][first]]
+            names = pa.array(list(number), pa.string()).take(pa.array(code[held][first]))
+            yield pa.RecordBatch.from_arrays([names, pa.array(rec[:, 0]), pa.array(rec[:, 1]), pa.array(n)], names=["term", "r1", "r2", "n"])
             every = np.unique(keys, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([""] * len(every), pa.string()), pa.array(every[:, 0]), pa.array(every[:, 1]), pa.array(np.zeros(len(every), np.int64))], names=["term", "r1", "r2", "n"])
 
