@@ -101,8 +101,8 @@ def content_terms(pieces: Sequence[tuple[str, list[str]]]) -> np.ndarray:
 def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
     """Measures of the own content of a page; its heading, the first line, is left out. Without words all are 0.
 
-    Unless ``every`` is set, the measures of the bare sequence are left out where half of the words or more stand in sentences, and the
-    autocorrelation of all words where few recur, as they can't change the outcome there.
+    Unless ``every`` is set, the measures of the bare sequence are left out where half of the words or more stand in sentences, and those
+    of all words where few recur, as they can't change the outcome there.
     """
     bare: list[str] = []
     pieces: list[tuple[str, list[str]]] = []
@@ -127,7 +127,9 @@ def profile(own: Sequence[Line], every: bool = True) -> dict[str, float]:
         bare = []
     terms = numbered(bare)
     near, regular = gaps(terms)
-    content = content_terms(pieces)
+    said = [w for _, words in pieces for w in words]
+    # what recurs at any distance bounds what recurs near
+    content = content_terms(pieces) if every or len(said) - len(set(said)) > SOME * len(said) else numbered(())
     all_near, all_regular = gaps(content)
     return {
         "words": float(total), "bare_share": words_bare / max(1, total), "link_share": words_linked / max(1, words_bare),
