@@ -29,7 +29,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, steps: int = 10, tol: float
         return v.withColumn("pagerank", F.lit(0.0))
     many = multiplicity(edges)
     out = many.groupBy("src").agg((F.count("*") if dedupe else F.sum("n")).alias("links"))
-    arcs = written(many.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("links")).alias("share")))
+    arcs = written(many.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("links")).alias("share")), by="src")  # no step shuffles them again
     ranks = v.withColumn("pagerank", F.lit(1.0 / n))
     base = (1 - DAMPING) / n
     for step in range(1, steps + 1):

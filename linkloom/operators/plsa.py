@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linkloom.session import written
 
 MODULUS = 1_000_003
+PARTS = 4  # that the documents of a term, and the terms of a document, are summed in
 
 
 def start_value(key: Column, topic: int) -> Column:
@@ -48,16 +49,20 @@ def _put(p: str, z: int, value: Column, topics: int) -> Column:
 def _half(counts: DataFrame, own: DataFrame, other: DataFrame, key: str, topics: int, update: str, scale: bool) -> DataFrame:
     """New values of ``own`` (key, p), given the other side: each p of a topic times the sum of n * other's p / chance of the pair.
 
-    The other side is joined to the counts once; a topic then takes one join and one aggregation on the same key. With ``scale`` each topic is made to
+    The other side is joined to the counts once, and laid out by key and a part of the other keys, so that no topic shuffles it again and a term on very
+    many documents is in ``PARTS`` tasks; sums of the parts are added up by key. With ``scale`` each topic is made to
     add up to 1 over the rows before the next, by sums of which one number a topic comes to the driver.
     """
     far = "url" if key == "term" else "term"
-    fixed = written(counts.join(other.withColumnRenamed("p", "q"), far).select(key, "n", "q"))
+    part = F.pmod(F.xxhash64(far), F.lit(PARTS)).cast("int")
+    fixed = written(counts.join(other.withColumnRenamed("p", "q"), far).select(key, part.alias("part"), "n", "q"), by=[key, "part"])
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
     for some in [[z] for z in range(topics)] if update == "sequential" else [list(range(topics))]:
-        both = fixed.join(own, key)
+        both = fixed.join(own.select(key, "p", parts), [key, "part"])
         mixed = sum((F.get("p", F.lit(k)) * F.get("q", F.lit(k)) for k in range(topics)), F.lit(0.0))
-        part = both.withColumn("r", F.when(mixed > 0, F.col("n") / mixed).otherwise(0.0))
-        new = part.groupBy(key).agg(F.first("p").alias("p"), *(F.sum(F.col("r") * F.get("q", F.lit(z))).alias(f"t{z}") for z in some))
+        share = both.withColumn("r", F.when(mixed > 0, F.col("n") / mixed).otherwise(0.0))
+        sums = share.groupBy(key, "part").agg(F.first("p").alias("p"), *(F.sum(F.col("r") * F.get("q", F.lit(z))).alias(f"t{z}") for z in some))
+        new = sums.groupBy(key).agg(F.first("p").alias("p"), *(F.sum(f"t{z}").alias(f"t{z}") for z in some))
         for z in some:
             new = new.withColumn("p", _put("p", z, F.get("p", F.lit(z)) * F.col(f"t{z}"), topics))
         own = written(new.select(key, "p"))

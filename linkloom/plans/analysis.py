@@ -78,7 +78,7 @@ class SiteAnalysis:
             sinks.save_ranked(graph.distribution(self.vertices, self.edges, kind), "degree", f"{base}/{kind}Distribution")
         sinks.save_ranked(graph.ranked(self.ranks(), "pagerank"), "pagerank", f"{base}/pagerank")
         if self.settings.print_paths:
-            sinks.save_reports(paths.path_report(paths.paths(self.pairs()), self.vertices), f"{base}/paths")
+            sinks.save_reports(paths.path_report(paths.shortest(self.edges, self.vertices), self.vertices), f"{base}/paths")
 
 
 def analyse(spark: SparkSession, settings: Settings, fetch: crawl.Fetcher | None = None) -> SiteAnalysis:

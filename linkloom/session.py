@@ -30,10 +30,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, by: str | list[str] | None = None) -> DataFrame:
     """Writes the rows as a table to the shared checkpoint folder and reads them from there: like cut_lineage, but later reads take only the columns they use.
 
-    With ``by`` the table is parted into buckets of that column, one for each partition of a shuffle, so that later joins and groups by it don't shuffle it again.
+    With ``by`` the table is parted into buckets of those columns, one for each partition of a shuffle, so that later joins and groups by it don't shuffle it again.
     """
     spark = df.sparkSession
     use_checkpoints(spark)
@@ -44,7 +44,8 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+    keys = [by] if isinstance(by, str) else by
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     BUCKETED[path] = name
     return spark.table(name)
 

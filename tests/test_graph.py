@@ -40,7 +40,9 @@ def test_all_pairs_against_search(spark, seed, limit):
     vertices, edges = frame(spark, v, e)
     found = paths.all_pairs(edges, vertices, limit=limit)
     assert {(r["src"], r["dst"]): (r["dist"], r["next"]) for r in found.collect()} == {k: (dist[k], nxt[k]) for k in dist}
-    for r in paths.paths(found).collect():
+    ways = paths.shortest(edges, vertices, limit=limit).collect()
+    assert {(r["src"], r["dst"]): r["dist"] for r in ways} == dist
+    for r in ways:
         at, steps = r["src"], []
         while at != r["dst"] or (r["src"] == r["dst"] and not steps):
             if r["src"] == r["dst"]:
@@ -59,7 +61,7 @@ def test_small_graphs(spark, rows):
     assert rows(found) == [("a", "b", 1, "b"), ("a", "c", 2, "b"), ("b", "c", 1, "c"), ("c", "c", 1, "c")]
     assert rows(paths.all_pairs(e, v, deepest=1)) == [("a", "b", 1, "b"), ("b", "c", 1, "c"), ("c", "c", 1, "c")]
     urls, links = frame(spark, ["http://s/a", "http://s/b"], [("http://s/a", "http://s/b")])
-    report = {(r["src"], r["dst"]): r["report"] for r in paths.path_report(paths.paths(paths.all_pairs(links, urls)), urls).collect()}
+    report = {(r["src"], r["dst"]): r["report"] for r in paths.path_report(paths.shortest(links, urls), urls).collect()}
     assert len(report) == 4
     assert report["http://s/a", "http://s/b"] == "Path from http://s/a to http://s/b\nhttp://s/b\n"
     assert report["http://s/b", "http://s/a"] == "Path from http://s/b to http://s/a\n"
