@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import urls
 
+PARTS, NOBODY = 8, 1 << 16  # parts of a site's links, and of links without a site
 AGENT = r"(?i)User-agent\s*:\s*\*"
 RULE = r"(?i)Disallow\s*:\s*(\S.*)$"
 
@@ -45,9 +46,12 @@ def by_host(rules: DataFrame, match: str = "base_of") -> DataFrame:
 
 
 def with_forbidden(links: DataFrame, target: str, rules: DataFrame, match: str = "base_of") -> DataFrame:
-    """Adds ``forbidden``: is the canonical address barred by its site's rules? One join by host; null targets are not."""
+    """Adds ``forbidden``: is the canonical address barred by its site's rules? One join by host and a part of its links, as a site may have very many; null
+    targets are not forbidden, and are spread over all parts.
+    """
     kept = links.columns
-    rows = links.withColumn("_host", urls.host_of(F.col(target))).select("*", urls.fenced(path_of(F.col(target))).alias("_path"))
-    barred = by_host(rules, match).withColumnRenamed("host", "_host")
+    rows = links.withColumn("_host", F.coalesce(urls.host_of(F.col(target)), F.lit(""))).select("*", urls.fenced(path_of(F.col(target))).alias("_path"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*kept), F.when(F.col("_host") == "", F.lit(NOBODY)).otherwise(F.lit(PARTS))).cast("int"))
+    barred = by_host(rules, match).select(F.col("host").alias("_host"), "barred", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
     hit = F.exists("barred", lambda begin: F.startswith(F.col("_path"), begin))
-    return rows.join(barred, "_host", "left").select(*kept, F.coalesce(hit, F.lit(False)).alias("forbidden"))
+    return rows.join(barred, ["_host", "_part"], "left").select(*kept, F.coalesce(hit, F.lit(False)).alias("forbidden"))

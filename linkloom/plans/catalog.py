@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import text, urls
 from linkloom.operators import crawl, graph, links, pagerank, paths, plsa, reports, robots, terms
 from linkloom.plans import sql
-from linkloom.session import written
+from linkloom.session import spread, written
 from linkloom.sources import pages as pg
 from linkloom.sources import sinks
 from linkloom.streaming import pages as streams
@@ -111,7 +111,7 @@ def noindex_flag(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, {sql.html_to_text('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, coalesce({sql.tokens('text')}, []) AS t FROM documents)")
@@ -134,17 +134,18 @@ TOP = 40
 
 
 @query(f"WITH {sql.PAGE_TERMS}, top AS (SELECT term FROM page_terms GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT {TOP}) SELECT t.term, u.url, coalesce(p.n, 0) AS n FROM top t CROSS JOIN (SELECT DISTINCT url FROM page_terms) u LEFT JOIN page_terms p ON p.term = t.term AND p.url = u.url")
-def term_doc_dense(spark: SparkSession, d: str) -> DataFrame:
-    """The dense matrix of the most frequent terms (a top-k report) and all pages."""
+def term_doc_top(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: the counts of the most frequent terms on every page, 0 where absent. ``term_doc_dense`` has all terms."""
     counts = written(page_terms(spark, d))
     top = counts.groupBy("term").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "term").limit(TOP)
     return terms.dense(counts, top)
 
 
-@query()
-def term_doc_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The dense matrix of all terms and all pages, one sparse vector a page; ``term_doc_dense`` has only the most frequent terms."""
-    return terms.matrix(written(page_terms(spark, d)))
+@query(f"WITH {sql.PAGE_TERMS} SELECT url, (SELECT count(DISTINCT term) FROM page_terms) AS length, string_agg(term || ':' || n, ' ' ORDER BY term) AS entries FROM page_terms GROUP BY 1")
+def term_doc_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of all terms and all pages, one vector a page: its length, and the terms and counts that are not 0 (no term holds a blank or a colon)."""
+    m = terms.matrix(written(page_terms(spark, d)))
+    return m.select("url", "length", F.array_join(F.zip_with("terms", "n", lambda t, n: F.concat_ws(":", t, n.cast("string"))), " ").alias("entries"))
 
 
 @query(f"WITH {sql.PAGE_TERMS} SELECT count(DISTINCT term) AS terms, count(DISTINCT url) AS documents, count(*) AS pairs, sum(n)::BIGINT AS tokens FROM page_terms")
@@ -211,7 +212,7 @@ def pagerank_mean(spark: SparkSession, d: str) -> DataFrame:
     return pagerank.pagerank(*site_graph(spark, d)).agg(F.round(F.avg("pagerank"), 9).alias("mean_pagerank"))
 
 
-@query()
+@query(sql.pagerank_until(100, 1e-4))
 def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
     """Until no rank changes by more than 0.0001 of the mean rank."""
     v, e = site_graph(spark, d)
@@ -238,13 +239,24 @@ def point_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {sql.PATHS} SELECT src, dst, dist, array_to_string(path, ' ') AS path FROM found")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths.paths(site_pairs(spark, d)[1]).select("src", "dst", "dist", F.concat_ws(" ", "path").alias("path"))
+    v, e = site_graph(spark, d)
+    return paths.shortest(e, v).select("src", "dst", "dist", F.concat_ws(" ", "path").alias("path"))
 
 
 @query(f"WITH RECURSIVE {sql.PATHS} SELECT a.url AS src, b.url AS dst, array_to_string(list_concat(['Path from ' || a.url || ' to ' || b.url], coalesce(f.path, []), ['']), chr(10)) AS report FROM v a JOIN v b ON {sql.host('a.url')} = {sql.host('b.url')} LEFT JOIN found f ON f.src = a.url AND f.dst = b.url")
 def path_report(spark: SparkSession, d: str) -> DataFrame:
-    v, pairs = site_pairs(spark, d)
-    return paths.path_report(paths.paths(pairs), v)
+    v, e = site_graph(spark, d)
+    return paths.path_report(paths.shortest(e, v), v)
+
+
+@query(f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(report, chr(10))) AS line FROM ({SQL['path_report']})) GROUP BY 1")
+def paths_file(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the file of all paths, with their number."""
+    from linkloom.session import shared_path
+
+    path = shared_path(spark, "paths")
+    sinks.save_reports(path_report(spark, d), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {sql.PAIRS} SELECT v.url, coalesce(max(dist), 0)::INTEGER AS eccentricity FROM v LEFT JOIN pairs p ON v.url = p.src GROUP BY 1")
@@ -269,17 +281,24 @@ CLOSURE = f"""{sql.RULES}, {sql.BAD}, {sql.FIRST_FETCH}, stored AS (SELECT url,
     seeds AS (SELECT min(url) AS url FROM stored GROUP BY {sql.host("url")}),
     found AS (SELECT url AS page, unnest(regexp_extract_all(html, {sql.lit(text.HREF)}, 1)) AS href FROM stored), l AS (SELECT page AS src, {sql.resolve("href", "page")} AS dst FROM found),
     ok AS (SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL AND starts_with(dst, {sql.root("src")} || '/') AND dst NOT IN (SELECT url FROM bad) AND NOT {sql.forbidden("dst")} AND dst IN (SELECT url FROM stored)),
-    walk(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT ok.dst, w.depth + 1 FROM walk w JOIN ok ON ok.src = w.url WHERE w.depth < 40)"""
+    walk(url, depth) USING KEY (url) AS (SELECT url, 0 FROM seeds UNION SELECT ok.dst, min(w.depth + 1) FROM walk w JOIN ok ON ok.src = w.url WHERE ok.dst NOT IN (SELECT url FROM recurring.walk) GROUP BY 1)"""
 
 
-@query(f"WITH RECURSIVE {CLOSURE} SELECT url, min(depth)::INTEGER AS depth FROM walk GROUP BY 1")
+@query(f"WITH RECURSIVE {CLOSURE} SELECT url, depth::INTEGER AS depth FROM walk")
 def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
     """From the first page of each site along admitted links, over the stored pages."""
     pages = table(spark, d, "pages")
     return crawl.closure_of_snapshot(first_pages(pages), pages, robots_rules(spark, d), table(spark, d, "invalid"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CLOSURE} SELECT count(*) AS pages, count(DISTINCT {sql.host('url')}) AS sites, max(depth)::INTEGER AS deepest FROM walk")
+def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One row: pages reached, their sites, and the greatest depth."""
+    return crawl_closure(spark, d).agg(F.count("*").alias("pages"), F.countDistinct(urls.host_of(F.col("url"))).alias("sites"), F.max("depth").alias("deepest"))
+
+
+@query(f"""WITH RECURSIVE {CLOSURE} SELECT src, dst, count(*) AS n FROM l WHERE src IN (SELECT url FROM walk) AND dst IN (SELECT url FROM walk) AND starts_with(dst, {sql.root("src")} || '/')
+    AND dst NOT IN (SELECT url FROM bad) AND NOT {sql.forbidden("dst")} GROUP BY 1, 2""")
 def crawl_edges(spark: SparkSession, d: str) -> DataFrame:
     """Links that a crawl finds, by rounds of fetching, from the first page of each site."""
     pages = table(spark, d, "pages")
@@ -403,7 +422,7 @@ def stream_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return streams.to_table(streams.term_counts(streams.read_pages(spark, f"{d}/page[s].parquet")), "complete")
 
 
-@query()
+@query("SELECT date_trunc('hour', reported_at) AS start, status, count(*) AS events FROM report WHERE status IS NOT NULL AND reported_at IS NOT NULL GROUP BY 1, 2")
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
     """Crawl events by hour of their own time, all windows, in complete mode."""
     rows = spark.readStream.schema("status string, seq bigint, url string, message string, reported_at timestamp, arrived_at timestamp").parquet(f"{d}/repor[t].parquet")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from linkloom.functions import text as tx
 from linkloom.operators.plsa import MODULUS
 
@@ -60,9 +62,22 @@ def file_path(u: str) -> str:
 
 
 def html_to_text(x: str) -> str:
-    for pattern, to in tx.steps():
-        x = f"replace({x}, {lit(pattern)}, {lit(to)})" if pattern.startswith("&") else sub(x, pattern, to)
-    return x
+    """By marks: each dropped element leaves one of three marks, blanks between two marks go, then the marks go; references last, split at the ampersand."""
+    x = f"replace(replace(replace({x}, chr(1), ''), chr(2), ''), chr(3), '')"
+    for pattern in ("(?s)<!--.*?-->", "(?s)<!--.*$", "(?i)<!doctype[^>]*>", "(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?is)<(script|style)\\b.*$"):
+        x = f"regexp_replace({x}, '{pattern}', chr(1), 'g')"
+    x = f"regexp_replace({x}, '(?i)<p([\\s/][^>]*)?>', chr(2), 'g')"
+    x = f"regexp_replace({x}, '<[A-Za-z/!?][^>]*(>|$)', chr(3), 'g')"
+    marks, blank = "[\\x01\\x02\\x03]", "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    x = f"regexp_replace({x}, '^{blank}+({marks}|$)', '\\1')"
+    for _ in range(2):  # neighbours share a mark
+        x = f"regexp_replace({x}, '({marks}){blank}+({marks}|$)', '\\1\\2', 'g')"
+    x = f"replace(replace(replace({x}, chr(2), chr(13) || chr(10)), chr(1), ''), chr(3), '')"
+    names = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in {"apos": 39, **name2codepoint}.items()) + "}"
+    ref = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    code = f"(CASE WHEN {ref} = '' THEN NULL WHEN {ref} LIKE '#x%' OR {ref} LIKE '#X%' THEN ('0x' || substr({ref}, 3))::INTEGER WHEN {ref} LIKE '#%' THEN substr({ref}, 2)::INTEGER ELSE element_at({names}, {ref})[1] END)"
+    one = f"CASE WHEN i > 1 THEN CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) || substr(p, length({ref}) + 2) ELSE '&' || p END ELSE p END"
+    return f"(SELECT CASE WHEN x LIKE '%&%' THEN array_to_string(list_transform(string_split(x, '&'), lambda p, i: {one}), '') ELSE x END FROM (SELECT {x} AS x))"
 
 
 def tokens(x: str) -> str:
@@ -80,8 +95,9 @@ GRAPH = f"{VERTICES}, {ALL_EDGES}, e AS (SELECT src, dst FROM every WHERE src IN
 DEGREES = f"""{GRAPH}, deg AS (SELECT v.url, coalesce(i.k, 0) AS indegree, coalesce(o.k, 0) AS outdegree FROM v
     LEFT JOIN (SELECT dst AS url, count(*) AS k FROM e GROUP BY 1) i ON v.url = i.url LEFT JOIN (SELECT src AS url, count(*) AS k FROM e GROUP BY 1) o ON v.url = o.url)"""
 PAIRS = f"""{GRAPH}, d AS (SELECT DISTINCT src, dst FROM e),
-    walk(src, dst, dist) AS (SELECT src, dst, 1 FROM d UNION SELECT w.src, d.dst, w.dist + 1 FROM walk w JOIN d ON w.dst = d.src WHERE w.dist < 40),
-    pairs AS (SELECT src, dst, min(dist)::INTEGER AS dist FROM walk GROUP BY 1, 2)"""
+    walk(src, dst, dist) USING KEY (src, dst) AS (SELECT src, dst, 1 FROM d UNION SELECT w.src, d.dst, min(w.dist + 1) FROM walk w JOIN d ON w.dst = d.src
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.walk k WHERE k.src = w.src AND k.dst = d.dst) GROUP BY 1, 2),
+    pairs AS (SELECT src, dst, dist::INTEGER AS dist FROM walk)"""
 NEXT = f"""{PAIRS}, hop AS (SELECT p.src, p.dst, p.dist, min(d.dst) AS next FROM pairs p JOIN d ON d.src = p.src LEFT JOIN pairs q ON q.src = d.dst AND q.dst = p.dst
     WHERE (p.dist = 1 AND d.dst = p.dst) OR (p.dist > 1 AND q.dist = p.dist - 1 AND d.dst <> p.dst) GROUP BY 1, 2, 3)"""
 PATHS = f"""{NEXT}, trail(src, dst, dist, here, path) AS (SELECT src, dst, dist, next, [next] FROM hop WHERE src <> dst
@@ -121,6 +137,13 @@ def pagerank(steps: int) -> str:
     return out
 
 
+def pagerank_until(steps: int, share: float) -> str:
+    """Ranks of the first step whose changes are all within that share of the mean rank, or of the last."""
+    every = " UNION ALL ".join(f"SELECT {k} AS k, url, pagerank FROM r{k}" for k in range(steps + 1))
+    return f"""WITH {pagerank(steps)}, steps AS ({every}), moved AS (SELECT a.k, max(abs(a.pagerank - b.pagerank)) AS most FROM steps a JOIN steps b ON a.url = b.url AND b.k = a.k - 1 GROUP BY 1)
+        SELECT url, round(pagerank, 9) AS pagerank FROM steps WHERE k = coalesce((SELECT min(k) FROM moved, n WHERE most <= {share} / n.n), {steps})"""
+
+
 class Plsa:
     """Common table expressions of a model: counts c, then w (term, p1..pK) and d (url, p1..pK) after each step."""
 

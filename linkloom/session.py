@@ -50,6 +50,13 @@ def written(df: DataFrame, by: str | list[str] | None = None) -> DataFrame:
     return spark.table(name)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder, deleted with the written tables."""
+    use_checkpoints(spark)
+    WRITTEN.append(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes the tables that this process has written. Frames that rest on them can't be read afterwards."""
     while WRITTEN:

@@ -43,14 +43,10 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     append: rows go to the table as they come, each once. complete: the last full result counts.
     """
-    from uuid import uuid4
-
-    from linkloom.session import WRITTEN, use_checkpoints
+    from linkloom.session import shared_path
 
     spark = stream.sparkSession
-    use_checkpoints(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
-    WRITTEN.append(base)
+    base = shared_path(spark, "stream")
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         run = out.format("parquet").start(f"{base}/rows")

@@ -134,7 +134,27 @@ def test_matrix_has_every_term(spark):
     from linkloom.plans import catalog
 
     d = "/root/testdata/sf0.001"
-    got = catalog.queries()["term_doc_matrix"](spark, d).collect()
+    got = catalog.queries()["term_doc_dense"](spark, d).collect()
     wanted = {(r["term"], r["url"]): r["n"] for r in catalog.queries()["term_doc_counts"](spark, d).collect()}
-    assert {(t, r["url"]): n for r in got for t, n in zip(r["terms"], r["n"], strict=True)} == wanted
+    assert {(x.rpartition(":")[0], r["url"]): int(x.rpartition(":")[2]) for r in got for x in r["entries"].split(" ")} == wanted
     assert {r["length"] for r in got} == {len({t for t, _ in wanted})}
+
+
+HAND_MADE = [
+    ("<b>x</b><p>y</p> <i>z</i>", "x\r\nyz"), ("<li>a</li><li>b</li>", "ab"), ("<script>if(a)'</p>'</script>q", "q"), ("x<!-- <p>c -->y", "xy"), ("&amp;lt;", "&lt;"),
+    ("&#39;&#x27;&#8364;&euro;&Auml;&hearts;", "''€€Ä♥"), ("&bogus;&amp &#0;&#xD800;&#1114112;", "&bogus;&amp &#0;&#xD800;&#1114112;"), ("a<script>var x = 1", "a"), ("a<!-- open <p>b", "a"), ("a<STYLE>p{}", "a"),
+    ("1 < 2<p>z", "1 < 2\r\nz"), ("<title>T</title> <P class='a'>b<br/>c", "T\r\nbc"), ('cut <a href="x', "cut "), ("", ""), (None, None), ("a&b&c;", "a&b&c;"), ("<pre>x</pre><param>y", "xy"), ("x <!-- --> <b>y", "x y"),
+]
+
+
+@pytest.mark.parametrize(("html", "wanted"), HAND_MADE)
+def test_hand_made_pages(spark, html, wanted):
+    """The column and the SQL, which part a page in different ways, against what a reader would say."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from linkloom.functions import text
+    from linkloom.plans import sql
+
+    assert spark.createDataFrame([(html,)], "h string").select(text.html_to_text(F.col("h")).alias("t")).first()["t"] == wanted
+    assert duckdb.execute(f"SELECT {sql.html_to_text('h')} FROM (SELECT ?::VARCHAR AS h)", [html]).fetchone()[0] == wanted
