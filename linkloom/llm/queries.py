@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,23 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_groups, p3_documents, p4_found, p4_sequences, p4_texts, p5_found, p5_measures, p6_ids, p6_texts, p7_packs, p7_report, p8_found, p8_restored)}
 
 
+def lines_sql(page: str) -> str:
+    """The text lines of a page as a list, in lower case and with digits made alike: white space first, then what ends a line, then the rest of the markup, then references."""
+    x = f"regexp_replace({page}, '\\s', ' ', 'g')"
+    for pattern, to in (
+        ("<!--.*?-->", "''"), ("<!--.*$", "''"), ("(?i)<!doctype[^>]*(>|$)", "''"), ("(?i)<(script)\\b[^>]*>.*?(</script *>|$)", "chr(10)"), ("(?i)<(style)\\b[^>]*>.*?(</style *>|$)", "chr(10)"),
+        ("(?i)</?(a|abbr|b|cite|code|em|i|mark|small|span|strong|sub|sup|time|u)( [^>]*|/)?(>|$)", "''"), ("(?i)</?[a-z][a-z0-9]*( [^>]*|/)?(>|$)", "chr(10)"), ("<[?!][^>]*>", "''"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    names = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in name2codepoint.items()) + "}"
+    ref = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    code = f"(CASE WHEN {ref} = '' THEN NULL WHEN {ref} LIKE '#x%' OR {ref} LIKE '#X%' THEN ('0x' || substr({ref}, 3))::INTEGER WHEN {ref} LIKE '#%' THEN substr({ref}, 2)::INTEGER ELSE element_at({names}, {ref})[1] END)"
+    told = f"array_to_string(list_transform(string_split(t, '&'), lambda p, i: CASE WHEN i > 1 THEN CASE WHEN {code} IS NOT NULL THEN chr({code}) || substr(p, length({ref}) + 2) ELSE '&' || p END ELSE p END), '')"
+    blank = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    line = f"regexp_replace(lower(replace(trim(regexp_replace({told}, '{blank}', ' ', 'g')), 'İ', 'i̇')), '[0-9]+', '0', 'g')"
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda t: {line}), lambda t: t <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     # Fixed value: the characters of category Cf.
     cf = "\\x{AD}\\x{600}-\\x{605}\\x{61C}\\x{6DD}\\x{70F}\\x{890}\\x{891}\\x{8E2}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}\\x{FFF9}-\\x{FFFB}"
@@ -128,4 +147,7 @@ def oracle_sql() -> dict[str, str]:
         a AS (SELECT count(DISTINCT u) AS every FROM t),
         c AS (SELECT term, sum(coalesce(n, 0))::BIGINT AS occurrences, count(DISTINCT u) AS records FROM t WHERE term <> '' GROUP BY term)
         SELECT term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.3 * every THEN 'common' END AS mark FROM c, a"""
-    return {"p1_terms": terms, "p1_found": f"SELECT term, mark FROM ({terms}) WHERE mark IS NOT NULL", "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    cut_host = f"lower(regexp_extract({cut}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)', 1))"
+    host = f"nullif(regexp_replace(regexp_replace({cut_host}, '^.*@', ''), ':[0-9]*$', ''), '')"
+    lines = f"SELECT host, line FROM (SELECT {host} AS host, {url} AS u, unnest({lines_sql('html')}) AS line FROM pages WHERE url IS NOT NULL AND html <> '') WHERE host IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT u) >= 5"
+    return {"p4_found": lines, "p1_terms": terms, "p1_found": f"SELECT term, mark FROM ({terms}) WHERE mark IS NOT NULL", "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
