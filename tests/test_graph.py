@@ -169,3 +169,38 @@ def test_written_tables_can_be_dropped(spark):
     session.drop_written(spark)
     session.WRITTEN[:] = kept
     assert not os.path.isdir(path)
+
+
+def two_sites(spark):
+    """Two sites in one component, a vertex without links, edges that repeat or leave."""
+    rng = random.Random(5)
+    v = [f"http://{s}/{k}" for s in "st" for k in range(9)] + ["http://u/0"]
+    e = [(rng.choice(v[:-1]), rng.choice([*v[:-1], "http://u/gone"])) for _ in range(30)] + [(v[0], v[1])] * 2
+    return v, *frame(spark, v, e)
+
+
+def many_edges(spark):
+    """500,200 edges in components of two vertices."""
+    edges = spark.range(500_200).selectExpr("concat('http://s/', id) AS src", "concat('http://s/', id + 1 - 2 * (id % 2)) AS dst")
+    return edges.select(edges.src.alias("url")), edges
+
+
+@pytest.fixture
+def no_levels(monkeypatch):
+    def fail(*_):
+        raise AssertionError("level by level")
+
+    monkeypatch.setattr(paths, "_levels", fail)
+
+
+def test_half_a_million_edges_are_searched(spark, no_levels):
+    v, e = many_edges(spark)
+    found = paths.all_pairs(e, v)
+    assert found.groupBy("dist").count().orderBy("dist").collect() == [(1, 500_200), (2, 500_200)]
+
+
+def test_pairs_by_both_plans(spark, rows):
+    v, vertices, edges = two_sites(spark)
+    some = spark.createDataFrame([(v[3],), (v[12],), ("http://u/gone",)], "url string")
+    assert rows(paths.all_pairs(edges, vertices)) == rows(paths.all_pairs(edges, vertices, limit=0))
+    assert rows(paths.all_pairs(edges, vertices, sources=some, deepest=3)) == rows(paths.all_pairs(edges, vertices, sources=some, deepest=3, limit=0))
