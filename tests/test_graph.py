@@ -204,3 +204,18 @@ def test_pairs_by_both_plans(spark, rows):
     some = spark.createDataFrame([(v[3],), (v[12],), ("http://u/gone",)], "url string")
     assert rows(paths.all_pairs(edges, vertices)) == rows(paths.all_pairs(edges, vertices, limit=0))
     assert rows(paths.all_pairs(edges, vertices, sources=some, deepest=3)) == rows(paths.all_pairs(edges, vertices, sources=some, deepest=3, limit=0))
+
+
+def test_reach_adds_up_in_the_search(spark, rows, no_levels):
+    v, e = many_edges(spark)
+    reached = paths.reach(e, v)
+    assert reached.groupBy("pairs", "total", "most").count().collect() == [(2, 3, 2, 500_200)]
+    assert paths.eccentricity_of(reached, v).groupBy("eccentricity").count().collect() == [(2, 500_200)]
+
+
+def test_reach_by_both_plans(spark, rows):
+    _, vertices, edges = two_sites(spark)
+    reached, far = paths.reach(edges, vertices), paths.all_pairs(edges, vertices, limit=0)
+    assert rows(reached) == rows(paths.reach(edges, vertices, limit=0))
+    assert {r["src"] for r in reached.collect()} == {r["src"] for r in far.collect()}
+    assert rows(paths.eccentricity_of(reached, vertices)) == rows(paths.eccentricity(far, vertices))
