@@ -264,8 +264,7 @@ def eccentricity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {sql.PAIRS}, ecc AS (SELECT v.url, coalesce(max(dist), 0) AS k FROM v LEFT JOIN pairs p ON v.url = p.src GROUP BY 1) SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT round(avg(dist), {PLACES}) FROM pairs) AS mean_distance, max(k)::INTEGER AS diameter, min(nullif(k, 0))::INTEGER AS radius FROM ecc")
 def graph_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     v, e = site_graph(spark, d)
-    pairs = paths.all_pairs(e, v)
-    return paths.distance_summary(pairs, v).withColumn("mean_distance", F.round("mean_distance", PLACES))
+    return paths.summary_of(paths.reach(e, v), v).withColumn("mean_distance", F.round("mean_distance", PLACES))
 
 
 def first_pages(pages: DataFrame) -> DataFrame:

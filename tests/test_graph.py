@@ -219,3 +219,10 @@ def test_reach_by_both_plans(spark, rows):
     assert rows(reached) == rows(paths.reach(edges, vertices, limit=0))
     assert {r["src"] for r in reached.collect()} == {r["src"] for r in far.collect()}
     assert rows(paths.eccentricity_of(reached, vertices)) == rows(paths.eccentricity(far, vertices))
+
+
+def test_summary_of_many_edges(spark, rows, no_levels):
+    v, e = many_edges(spark)
+    assert rows(paths.summary_of(paths.reach(e, v), v)) == [(1_000_400, 1.5, 2, 2)]
+    _, vertices, edges = two_sites(spark)
+    assert rows(paths.summary_of(paths.reach(edges, vertices), vertices)) == rows(paths.distance_summary(paths.all_pairs(edges, vertices), vertices))
