@@ -236,7 +236,7 @@ def point_distance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {sql.PATHS} SELECT src, dst, dist, array_to_string(path, ' ') AS path FROM found")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     v, e = site_graph(spark, d)
-    return paths.shortest(e, v).select("src", "dst", "dist", F.concat_ws(" ", "path").alias("path"))
+    return paths.shortest_texts(e, v)
 
 
 @query(f"WITH RECURSIVE {sql.PATHS} SELECT a.url AS src, b.url AS dst, array_to_string(list_concat(['Path from ' || a.url || ' to ' || b.url], coalesce(f.path, []), ['']), chr(10)) AS report FROM v a JOIN v b ON {sql.host('a.url')} = {sql.host('b.url')} LEFT JOIN found f ON f.src = a.url AND f.dst = b.url")

@@ -226,3 +226,17 @@ def test_summary_of_many_edges(spark, rows, no_levels):
     assert rows(paths.summary_of(paths.reach(e, v), v)) == [(1_000_400, 1.5, 2, 2)]
     _, vertices, edges = two_sites(spark)
     assert rows(paths.summary_of(paths.reach(edges, vertices), vertices)) == rows(paths.distance_summary(paths.all_pairs(edges, vertices), vertices))
+
+
+def test_path_texts_by_both_plans(spark, rows):
+    from pyspark.sql import functions as F
+
+    _, vertices, edges = two_sites(spark)
+    far = paths.shortest(edges, vertices, limit=0)
+    assert rows(paths.shortest(edges, vertices)) == rows(far)
+    assert rows(paths.shortest_texts(edges, vertices)) == rows(far.withColumn("path", F.concat_ws(" ", "path"))) == rows(paths.shortest_texts(edges, vertices, limit=0))
+
+
+def test_paths_of_many_edges(spark, no_levels):
+    v, e = many_edges(spark)
+    assert paths.shortest_texts(e, v).selectExpr("if(src = dst, path = '', path = dst) AS good").groupBy("good").count().collect() == [(True, 1_000_400)]
