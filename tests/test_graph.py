@@ -240,3 +240,14 @@ def test_path_texts_by_both_plans(spark, rows):
 def test_paths_of_many_edges(spark, no_levels):
     v, e = many_edges(spark)
     assert paths.shortest_texts(e, v).selectExpr("if(src = dst, path = '', path = dst) AS good").groupBy("good").count().collect() == [(True, 1_000_400)]
+
+
+def test_reports_are_not_joined(spark, rows):
+    _, vertices, edges = two_sites(spark)
+    found, ordered = paths.path_reports(edges, vertices)
+    got = [tuple(r) for r in found.collect()]
+    joined = paths.path_report(paths.shortest(edges, vertices), vertices)
+    assert ordered and got == sorted(got) == rows(joined) == rows(paths.path_reports(edges, vertices, limit=0)[0])
+    assert len(got) == 9 * 9 + 9 * 9 + 1
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "strategy=merge" in joined._jdf.queryExecution().optimizedPlan().toString()
