@@ -158,3 +158,16 @@ def test_hand_made_pages(spark, html, wanted):
 
     assert spark.createDataFrame([(html,)], "h string").select(text.html_to_text(F.col("h")).alias("t")).first()["t"] == wanted
     assert duckdb.execute(f"SELECT {sql.html_to_text('h')} FROM (SELECT ?::VARCHAR AS h)", [html]).fetchone()[0] == wanted
+
+
+@pytest.mark.parametrize("update", ["sequential", "simultaneous"])
+def test_plsa_plans_agree(spark, update, monkeypatch):
+    """The numbers of both plans, over several pieces; the second is taken without a join of the counts."""
+    counts = spark.createDataFrame([(f"t{k * k % 17}", f"u{k % 7}", k % 5 + 1) for k in range(60)] + [("only", "u0", 2)], "term string, url string, n long").groupBy("term", "url").agg(F.max("n").alias("n"))
+    counts = counts.unionByName(spark.createDataFrame([(None, "u0", 1), ("t1", None, 1)], counts.schema))
+    far = plsa.fit(counts, 3, 6, update, 1e-3, limit=0)
+    monkeypatch.setattr(plsa, "_half", None)
+    near = plsa.fit(counts, 3, 6, update, 1e-3)
+    for key, a, b in (("term", far.terms, near.terms), ("url", far.documents, near.documents)):
+        wanted = {r[key]: list(r["p"]) for r in a.collect()}
+        assert {r[key]: list(r["p"]) for r in b.collect()} == {k: pytest.approx(x, abs=1e-9) for k, x in wanted.items()}
