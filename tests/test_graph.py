@@ -251,3 +251,16 @@ def test_reports_are_not_joined(spark, rows):
     assert len(got) == 9 * 9 + 9 * 9 + 1
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert "strategy=merge" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_saved_reports_keep_their_order(spark, tmp_path):
+    """Reports in order are written without a sort, packed, and read back line by line."""
+    _, vertices, edges = two_sites(spark)
+    found, ordered = paths.path_reports(edges, vertices)
+    sinks.save_reports(found, str(tmp_path / "a"), ordered, "gzip")
+    sinks.save_reports(found, str(tmp_path / "b"))
+    files = sorted((tmp_path / "a").glob("part-*.gz"))
+    assert files
+    lines = [x for f in files for x in spark.read.text(str(f)).toPandas()["value"]]
+    wanted = [x for f in sorted((tmp_path / "b").glob("part-*")) for x in spark.read.text(str(f)).toPandas()["value"]]
+    assert lines == wanted
