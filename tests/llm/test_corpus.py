@@ -202,6 +202,24 @@ def test_sequences_of_any_length(spark, tmp_path, local):
     assert lines == {(h, x) for h, p in wanted for x in p}
 
 
+def test_long_sequences_of_large_sites_ask_little_of_the_driver(spark):
+    def asked(length):
+        rows = [("c.example", list(range(length)), 6, None, None)]
+        weighted = site_lines.written(spark.createDataFrame(rows, "host string, items array<long>, n long, r1 long, r2 long"))
+        spark.sparkContext.setJobGroup(f"length {length}", "")
+        try:
+            found = site_lines.frequent_items(weighted, local=0)
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"length {length}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [(r["items"], r["support"]) for r in found.collect()] == [(list(range(length)), 6)]
+        return jobs, len(found._jdf.queryExecution().analyzed().toString())
+
+    few, many = asked(3), asked(11)
+    assert many[0] - few[0] <= 8 * 5  # jobs a level
+    assert many[1] < 1.1 * few[1]  # the plan of the result doesn't grow with the levels
+
+
 def test_without_repeats(spark):
     data = site_data()
     often = {(h, x) for h, p in frequent(data, 0) for x in p}
