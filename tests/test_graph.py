@@ -264,3 +264,16 @@ def test_saved_reports_keep_their_order(spark, tmp_path):
     lines = [x for f in files for x in spark.read.text(str(f)).toPandas()["value"]]
     wanted = [x for f in sorted((tmp_path / "b").glob("part-*")) for x in spark.read.text(str(f)).toPandas()["value"]]
     assert lines == wanted
+
+
+def test_reports_across_sites(spark, rows):
+    """Every ordered pair of vertices has a report, of different sites and without a site too."""
+    v, vertices, edges = two_sites(spark)
+    vertices = vertices.union(spark.createDataFrame([("no site",)], "url string"))
+    found, ordered = paths.path_reports(edges, vertices, across=True)
+    got = [tuple(r) for r in found.collect()]
+    ways = {(r["src"], r["dst"]): r["path"] for r in paths.shortest(edges, vertices).collect()}
+    every = sorted([*v, "no site"])
+    assert any(a.split("/")[2] != b.split("/")[2] for a, b in ways)
+    assert ordered and got == [(a, b, "\n".join([f"Path from {a} to {b}", *ways.get((a, b), []), ""])) for a in every for b in every]
+    assert got == rows(paths.path_reports(edges, vertices, limit=0, across=True)[0])
