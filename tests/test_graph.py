@@ -277,3 +277,18 @@ def test_reports_across_sites(spark, rows):
     assert any(a.split("/")[2] != b.split("/")[2] for a, b in ways)
     assert ordered and got == [(a, b, "\n".join([f"Path from {a} to {b}", *ways.get((a, b), []), ""])) for a in every for b in every]
     assert got == rows(paths.path_reports(edges, vertices, limit=0, across=True)[0])
+
+
+def test_path_texts_are_packed(spark, rows, tmp_path):
+    """Each path comes right after one that it prolongs or that shares the beginning, and the result is written by zstd, without a change of the caller's session."""
+    v = [f"http://s/{k:02}" for k in range(40)]
+    vertices, edges = frame(spark, v, [*zip(v, v[1:], strict=False), (v[0], v[20]), (v[5], v[1])])
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    found = paths.shortest_texts(edges, vertices)
+    ways = [(r["src"], r["path"].split()) for r in found.collect() if r["src"] == v[0]]
+    kept = {tuple(p) for _, p in ways}
+    assert len(ways) == 39
+    assert all(len(b) == 1 or tuple(b[:-1]) in kept and a[: len(b) - 1] == b[:-1] for (_, a), (_, b) in zip(ways, ways[1:], strict=False))
+    found.write.parquet(str(tmp_path / "x"))
+    assert list((tmp_path / "x").glob("part-*.zstd.parquet")) and spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    assert rows(spark.read.parquet(str(tmp_path / "x"))) == rows(found) == rows(paths.shortest_texts(edges, vertices, limit=0))
