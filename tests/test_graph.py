@@ -292,3 +292,11 @@ def test_path_texts_are_packed(spark, rows, tmp_path):
     found.write.parquet(str(tmp_path / "x"))
     assert list((tmp_path / "x").glob("part-*.zstd.parquet")) and spark.conf.get("spark.sql.parquet.compression.codec") == codec
     assert rows(spark.read.parquet(str(tmp_path / "x"))) == rows(found) == rows(paths.shortest_texts(edges, vertices, limit=0))
+
+
+def test_reports_are_packed(spark, rows, tmp_path):
+    _, vertices, edges = two_sites(spark)
+    found, _ = paths.path_reports(edges, vertices, across=True)
+    found.write.parquet(str(tmp_path / "x"))
+    assert list((tmp_path / "x").glob("part-*.zstd.parquet"))
+    assert rows(spark.read.parquet(str(tmp_path / "x"))) == rows(found)
