@@ -300,3 +300,30 @@ def test_reports_are_packed(spark, rows, tmp_path):
     found.write.parquet(str(tmp_path / "x"))
     assert list((tmp_path / "x").glob("part-*.zstd.parquet"))
     assert rows(spark.read.parquet(str(tmp_path / "x"))) == rows(found)
+
+
+def test_reports_by_path(spark, rows):
+    """The same reports, those of a source by their paths: each path after one that it prolongs, pairs without a path last."""
+    _, vertices, edges = two_sites(spark)
+    found, ordered = paths.path_reports(edges, vertices, by_path=True)
+    got = [tuple(r) for r in found.collect()]
+    assert ordered and [r[0] for r in got] == sorted(r[0] for r in got)
+    assert sorted(got) == rows(paths.path_reports(edges, vertices)[0])
+    for s in {r[0] for r in got}:
+        ways = [r[2].split("\n")[1:-1] for r in got if r[0] == s and r[0] != r[1]]
+        ways = [w for k, w in enumerate(ways) if w or any(ways[k:])]
+        assert all(ways) and ways == sorted(ways)
+
+
+def test_lines_of_reports(spark, rows):
+    """Headings are not shuffled, those that can be read in two ways are added up, and without sure headings all lines are."""
+    v = ["a", "a to b", "b", "b to c", "c"]
+    vertices, edges = frame(spark, v, [("a", "b"), ("b", "c"), ("c", "a to b")])
+    reports = [r["report"] for r in paths.path_reports(edges, vertices, across=True)[0].collect()]
+    lines = spark.createDataFrame([(x,) for r in reports for x in r.split("\n")], "value string")
+    got = sinks.report_lines(lines, paths.headings_alone(vertices))
+    assert rows(got) == rows(sinks.report_lines(lines, False))
+    assert ("Path from a to b to c", 2) in rows(got) and ("Path from a to c", 1) in rows(got)
+    assert "Union" in got._jdf.queryExecution().executedPlan().toString()
+    for odd in ("Path from a to b", "x\ny", "x\ry"):
+        assert not paths.headings_alone(vertices.union(spark.createDataFrame([(odd,)], "url string")))
